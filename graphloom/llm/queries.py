@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_format, exact_dedup
-from graphloom.llm.common import read_table
+from graphloom.llm import chat_format, exact_dedup, lang_id, mixing, quality
+from graphloom.llm.common import fold_of, read_table, text_of, word_count
 
+#: Weights of the sources by code point, repeating; their share of all words; passes over a document at most.
+MIX_WEIGHTS, MIX_SHARE, MIX_PASSES = (5.0, 2.0, 1.0), 1.5, 2
 #: Both texts of the additional conversation of op2.
 ESCAPE_CASE = r"\### Assistant: </turn> ok"
 
@@ -29,8 +31,31 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(chat_format.chat_windows(turns))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    profiles = lang_id.learn(docs.where(fold_of(F.col("doc_id")) != 0))
+    found = lang_id.predict(docs, profiles, keep=["doc_id"])
+    return found.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.learn(docs, read_table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id")) != 0))
+    found = quality.predict(docs, model, ["doc_id"])
+    return found.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.array("source").alias("sources"), word_count(text_of("text")).alias("size"))
+    rows, sizes, targets = mixing.mix(docs, MIX_WEIGHTS, MIX_SHARE, MIX_PASSES)
+    known = spark.createDataFrame(
+        [(mixing.pattern_of([s]), sizes[s], targets[s]) for s in sizes] or [("", 0, 0.0)], "pattern string, source_size long, target double"
+    )
+    return rows.join(F.broadcast(known), "pattern").select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_chat_format)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op5_language_id, op6_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
