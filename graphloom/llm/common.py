@@ -55,3 +55,34 @@ def fold_of(id_col: Column) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def join_skewed(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int, hot_groups: int = 1024) -> DataFrame:
+    """rows joined with the one row that groups has for their keys, though one group may hold most rows.
+
+    Groups of more than total / hot_groups rows (at most hot_groups of them) are broadcast, the others shuffle.
+    """
+    limit = max(1, total // hot_groups)
+    hot = groups.where(F.col(size_col) > limit)
+    found = rows.join(F.broadcast(hot), keys, "inner")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size_col) <= limit), keys, "inner")
+    return found.unionByName(rest)
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for each end of an edge; component: the smallest node that can be reached.
+
+    Labels fall to the least among the neighbours and then jump to their label's label, so chains halve in each round.
+    """
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    both = materialise(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges")
+    labels = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")), "labels")
+    while True:
+        near = both.join(labels.withColumnsRenamed({"u": "v", "l": "lv"}), "v").groupBy("u").agg(F.min("lv").alias("m"))
+        low = labels.join(near, "u").select("u", "l", F.least("l", "m").alias("m"))
+        jumped = low.join(low.select(F.col("u").alias("m"), F.col("m").alias("j")), "m", "left")
+        new = materialise(jumped.select("u", F.col("l").alias("old"), F.least("m", F.coalesce("j", "m")).alias("l")), "labels")
+        done = new.where("l <> old").limit(1).count() == 0
+        labels = new.select("u", "l")
+        if done:
+            return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))

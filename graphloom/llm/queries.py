@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_format, exact_dedup, lang_id, mixing, quality
+from graphloom.llm import chat_format, exact_dedup, jaccard_join, lang_id, mixing, quality
 from graphloom.llm.common import fold_of, read_table, text_of, word_count
 
 #: Weights of the sources by code point, repeating; their share of all words; passes over a document at most.
@@ -45,6 +45,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.array("source").alias("sources"), word_count(text_of("text")).alias("size"))
     rows, sizes, targets = mixing.mix(docs, MIX_WEIGHTS, MIX_SHARE, MIX_PASSES)
@@ -55,7 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op5_language_id, op6_quality, op10_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op5_language_id, op6_quality, op7_jaccard_join, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -65,4 +69,29 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
         """,
+        "op7_jaccard_join": r"""
+            WITH RECURSIVE words AS (
+                SELECT doc_id, regexp_extract_all(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+                FROM documents
+            ), grams AS (
+                SELECT DISTINCT doc_id, unnest(CASE
+                    WHEN len(w) = 0 THEN []::VARCHAR[]
+                    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+                FROM words
+            ), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+            common AS (
+                SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+                FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+            ), links AS (
+                SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+                WHERE 100 * c >= 75 * (a.n + b.n - c)
+            ), reach AS (
+                SELECT doc_id AS x, doc_id AS y FROM documents
+                UNION
+                SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+            ), least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+            SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM least LEFT JOIN sizes USING (doc_id)
+        """,
     }
