@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_format, exact_dedup, jaccard_join, lang_id, mixing, quality
-from graphloom.llm.common import fold_of, read_table, text_of, word_count
+from graphloom.llm import chat_format, exact_dedup, jaccard_join, lang_id, mixing, nearest, pieces, quality, shards, token_counts
+from graphloom.llm.common import fold_of, materialise, read_table, shared_dir, text_of, word_count
 
+#: Files of public tokenizers; only their paths are used.
+PIECES_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+RANKS_FILE, RANKS_VERSION = "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_bpe_50k"
+#: Arrivals in which op9 stores the documents.
+ARRIVALS = 6
 #: Weights of the sources by code point, repeating; their share of all words; passes over a document at most.
 MIX_WEIGHTS, MIX_SHARE, MIX_PASSES = (5.0, 2.0, 1.0), 1.5, 2
 #: Both texts of the additional conversation of op2.
@@ -31,6 +37,29 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(chat_format.chat_windows(turns))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read_table(spark, sf_dir, "documents"), PIECES_FILE)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents enter with their words as a first count, are revised to real counts, and empty ones are deleted."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("words", word_count(text_of("text")))
+    counted = token_counts.count_tokens(docs, RANKS_FILE, ["source", "lang", "words"])
+    counted = materialise(counted.withColumn("tokenizer", F.lit(RANKS_VERSION)), "counts")
+    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+
+    def changes(op: str, rows: DataFrame, tokens: str) -> DataFrame:
+        return rows.select(F.lit(op).alias("op"), *token_counts.KEYS, F.col(tokens).alias("tokens"), F.col("words").alias("old_tokens"))
+
+    first = changes(token_counts.INSERT, counted, "words")
+    rollup.apply("insert", first)
+    rollup.apply("revise", changes(token_counts.REVISE, counted, "n_tokens"))
+    rollup.compact()
+    rollup.apply("insert", first)
+    rollup.apply("delete", changes(token_counts.DELETE, counted.where("n_tokens = 0"), "n_tokens"))
+    return rollup.totals()
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     profiles = lang_id.learn(docs.where(fold_of(F.col("doc_id")) != 0))
@@ -49,6 +78,21 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, stored in arrivals, compacted, and read back from the newest version."""
+    docs = read_table(spark, sf_dir, "documents")
+    store = shards.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    for k in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "source", "lang", F.sha2(text_of("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.array("source").alias("sources"), word_count(text_of("text")).alias("size"))
     rows, sizes, targets = mixing.mix(docs, MIX_WEIGHTS, MIX_SHARE, MIX_PASSES)
@@ -59,7 +103,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op5_language_id, op6_quality, op7_jaccard_join, op10_mixing)}
+    found = (
+        op1_exact_dedup, op2_chat_format, op3_sentencepiece, op4_token_counts, op5_language_id,
+        op6_quality, op7_jaccard_join, op8_nearest, op9_shards, op10_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -69,6 +117,7 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
         """,
+        "op9_shards": "SELECT doc_id, source, lang, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
         "op7_jaccard_join": r"""
             WITH RECURSIVE words AS (
                 SELECT doc_id, regexp_extract_all(
