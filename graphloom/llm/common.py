@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,12 +32,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that materialise() wrote, once all that was made of it is materialised too."""
+    for file in table.inputFiles()[:1]:
+        for path in [p for p in _written if f"{p.split(':')[-1]}/" in file]:
+            _delete(table.sparkSession, path)
+            _written.remove(path)
+    # Shuffle files go when the plans that made them are collected.
+    table.sparkSession.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that materialise() wrote; results that still read them must have been stored before."""
-    jvm = spark.sparkContext._jvm
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def text_of(name: str) -> Column:
@@ -86,3 +100,45 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = new.select("u", "l")
         if done:
             return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
+
+
+#: bitmap_construct_agg makes bitmaps of 4096 bytes; one is one block of a Bloom filter.
+BLOCK_BITS = 32_768
+BITS_PER_ROW = 16
+#: Filters are broadcast, so they never have more blocks than this (64 MB); beyond, more rows are hit in vain.
+MAX_BLOCKS = 16_384
+
+
+def bloom_size(rows: int) -> int:
+    """Blocks of a filter of so many rows."""
+    return max(1, min(MAX_BLOCKS, math.ceil(rows * BITS_PER_ROW / BLOCK_BITS)))
+
+
+def bloom_probes(key: Column, blocks: int) -> tuple[Column, Column, Column]:
+    """The block of a key, and its two bits there."""
+    bits = F.xxhash64(key, F.lit(1))
+    return (
+        F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"),
+        bits.bitwiseAND(F.lit(BLOCK_BITS - 1)),
+        F.shiftright(bits, 17).bitwiseAND(F.lit(BLOCK_BITS - 1)),
+    )
+
+
+def bitmap_bit(bitmap: Column, position: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(position, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), position.bitwiseAND(F.lit(7)).cast("int"))) != 0
+
+
+def without(df: DataFrame, id_col: str, gone: DataFrame, gone_col: str) -> DataFrame:
+    """df without the rows whose id is in gone (distinct ids). Only rows that a Bloom filter of gone hits shuffle."""
+    blocks = bloom_size(gone.count())
+    block, first, second = bloom_probes(F.col(gone_col).cast("long"), blocks)
+    bits = gone.select(block.alias("__block"), F.explode(F.array(first, second)).alias("__pos"))
+    bloom = bits.groupBy("__block").agg(F.bitmap_construct_agg(F.col("__pos")).alias("__bits"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col(id_col).cast("long").alias("__id"))
+    block, first, second = bloom_probes(F.col("__id"), blocks)
+    probed = rows.withColumn("__block", block).join(F.broadcast(bloom), "__block", "left")
+    hit = F.coalesce(bitmap_bit(F.col("__bits"), first) & bitmap_bit(F.col("__bits"), second), F.lit(False)) & F.col("__id").isNotNull()
+    probed = probed.select("__row", "__id", hit.alias("__hit"))
+    checked = probed.where("__hit").join(gone.select(F.col(gone_col).cast("long").alias("__id")), "__id", "left_anti")
+    return probed.where("not __hit").select("__row.*").unionByName(checked.select("__row.*"))

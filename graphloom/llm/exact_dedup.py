@@ -11,43 +11,16 @@ one row in drop_duplicates. An empty table gives an empty result. Columns of any
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, text_of
-
-#: bitmap_construct_agg makes bitmaps of 4096 bytes; one is one block of the filter.
-BLOCK_BITS = 32_768
-BITS_PER_ROW = 16
-#: The filter is broadcast, so it never has more blocks than this (64 MB); beyond, more rows shuffle.
-MAX_BLOCKS = 16_384
-#: A group is hot from this share of all rows on: there are at most so many hot groups to broadcast.
-HOT_GROUPS = 1024
-
-
-def _blocks(rows: int) -> int:
-    return max(1, min(MAX_BLOCKS, math.ceil(rows * BITS_PER_ROW / BLOCK_BITS)))
-
-
-def _probes(sha: str, blocks: int) -> tuple[Column, Column, Column]:
-    bits = F.xxhash64(F.col(sha), F.lit(1))
-    return (
-        F.pmod(F.xxhash64(F.col(sha)), F.lit(blocks)).cast("int"),
-        bits.bitwiseAND(F.lit(BLOCK_BITS - 1)),
-        F.shiftright(bits, 17).bitwiseAND(F.lit(BLOCK_BITS - 1)),
-    )
-
+from graphloom.llm.common import bitmap_bit, bloom_probes, bloom_size, join_skewed, materialise, text_of
 
-def _bit(bitmap: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(position, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.shiftright(byte, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1), position.bitwiseAND(F.lit(7)).cast("int"))) != 0
 
 
 def repeated_filter(digests: DataFrame, rows: int, sha: str = "__sha") -> DataFrame:
     """(__block, __bits): the bits of the Bloom filter that at least two rows set."""
-    block, first, second = _probes(sha, _blocks(rows))
+    block, first, second = bloom_probes(F.col(sha), bloom_size(rows))
     hits = digests.select(block.alias("__block"), F.explode(F.array(first, second)).alias("__pos"))
     twice = hits.groupBy("__block", "__pos").count().where("count > 1")
     return twice.groupBy("__block").agg(F.bitmap_construct_agg(F.col("__pos")).alias("__bits"))
@@ -55,9 +28,9 @@ def repeated_filter(digests: DataFrame, rows: int, sha: str = "__sha") -> DataFr
 
 def possibly_repeated(rows_df: DataFrame, bloom: DataFrame, rows: int, sha: str = "__sha") -> DataFrame:
     """rows_df with boolean __again: false only if no other row has the same digest."""
-    block, first, second = _probes(sha, _blocks(rows))
+    block, first, second = bloom_probes(F.col(sha), bloom_size(rows))
     probed = rows_df.withColumn("__block", block).join(F.broadcast(bloom), "__block", "left")
-    again = F.coalesce(_bit(F.col("__bits"), first) & _bit(F.col("__bits"), second), F.lit(False))
+    again = F.coalesce(bitmap_bit(F.col("__bits"), first) & bitmap_bit(F.col("__bits"), second), F.lit(False))
     return probed.withColumn("__again", again).drop("__block", "__bits")
 
 
@@ -71,14 +44,10 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     probed = possibly_repeated(digests, repeated_filter(digests, rows), rows)
     shuffled = probed.where("__again")
     groups = materialise(shuffled.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__n")), "groups")
-    hot_from = max(1, rows // HOT_GROUPS)
-    hot = groups.where(F.col("__n") > hot_from).withColumnsRenamed({"__keep": "__hot_keep", "__n": "__hot_n"})
-    marked = shuffled.join(F.broadcast(hot), "__sha", "left")
     columns = ["__id", "__sha", "__keep", "__n"]
     once = probed.where("not __again").select("__id", "__sha", F.col("__id").alias("__keep"), F.lit(1).cast("long").alias("__n"))
-    of_hot = marked.where("__hot_n is not null").select("__id", "__sha", F.col("__hot_keep").alias("__keep"), F.col("__hot_n").alias("__n"))
-    rest = marked.where("__hot_n is null").select("__id", "__sha").join(groups.where(F.col("__n") <= hot_from), "__sha").select(*columns)
-    return once.unionByName(of_hot).unionByName(rest).select(
+    again = join_skewed(shuffled.select("__id", "__sha"), groups, ["__sha"], "__n", rows).select(*columns)
+    return once.unionByName(again).select(
         F.col("__id").alias(id_col),
         F.col("__keep").alias("keep_id"),
         F.col("__n").alias("group_size"),

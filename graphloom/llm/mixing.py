@@ -17,7 +17,7 @@ import heapq
 import json
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialise
@@ -123,29 +123,18 @@ def _threshold(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return best.select("pattern", (F.col("top") * _HALF + after).alias("cut"))
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[float, ...] | dict[str | None, float],
-    total_share: float = 1.5,
-    max_passes: int = 2,
-    seed: int = 11,
-    id_col: str = "doc_id",
-    sources_col: str = "sources",
-    size_col: str = "size",
-) -> tuple[DataFrame, dict[str | None, int], dict[str | None, float]]:
-    """(id, pattern, size, passes, taken) for each row, the sources' sizes and their targets.
-
-    sources_col is an array of source names (null is a name); a document counts in full in the size of each.
-    """
-    narrow = materialise(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.to_json(F.sort_array(F.array_distinct(sources_col))).alias("pattern"),
-            F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias("size"),
-            F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 32)).alias("h"),
-        ),
-        "mix",
+def _keyed(docs: DataFrame, seed: int, id_col: str, sources: Column, size: Column) -> DataFrame:
+    """docs with its pattern, size and hash, under names that start with __."""
+    return docs.select(
+        "*",
+        F.to_json(F.sort_array(F.array_distinct(sources))).alias("__pattern"),
+        F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("__size"),
+        F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 32)).alias("__h"),
     )
+
+
+def _planned(narrow: DataFrame, weights: tuple[float, ...] | dict[str | None, float], total_share: float, max_passes: int) -> tuple[DataFrame, dict, dict]:
+    """(pattern, whole, cut), one row per pattern, with the sources' sizes and targets."""
     sums = narrow.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -159,13 +148,43 @@ def mix(
     targets = source_targets(sizes, by_source, total_share * sum(capacity.values()), max_passes)
     used = min_cost_flow(capacity, members, {s: round(t) for s, t in targets.items()}, max_passes)
     plan = [(p, used[p] // n if n else 0, used[p] % n if n else 0) for p, n in capacity.items()]
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame(plan or [("", 0, 0)], "pattern string, whole long, rest long")
+    wanted = narrow.sparkSession.createDataFrame(plan or [("", 0, 0)], "pattern string, whole long, rest long")
     cuts = _threshold(narrow.where("pattern is not null"), wanted.where("rest > 0"))
-    passes = F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.col("h") < F.coalesce(F.col("cut"), F.lit(0)), 1).otherwise(0)
-    rows = narrow.join(F.broadcast(wanted.join(cuts, "pattern", "left")), "pattern", "left").withColumn("passes", passes)
-    return (
-        rows.select(F.col("id").alias(id_col), "pattern", "size", "passes", (F.col("passes") * F.col("size")).alias("taken")),
-        dict(sizes),
-        targets,
-    )
+    return materialise(wanted.join(cuts, "pattern", "left").select("pattern", "whole", F.coalesce("cut", F.lit(0)).alias("cut")), "plan"), dict(sizes), targets
+
+
+def _passes(whole: str, cut: str, h: str) -> Column:
+    return F.coalesce(F.col(whole), F.lit(0)) + F.when(F.col(h) < F.coalesce(F.col(cut), F.lit(0)), 1).otherwise(0)
+
+
+def mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] | dict[str | None, float],
+    total_share: float = 1.5,
+    max_passes: int = 2,
+    seed: int = 11,
+    id_col: str = "doc_id",
+    sources_col: str = "sources",
+    size_col: str = "size",
+) -> tuple[DataFrame, dict[str | None, int], dict[str | None, float]]:
+    """(id, pattern, size, passes, taken) for each row, the sources' sizes and their targets.
+
+    sources_col is an array of source names (null is a name); a document counts in full in the size of each.
+    """
+    keyed = _keyed(docs.select(F.col(id_col).alias("id"), F.col(sources_col).alias("s"), F.col(size_col).alias("n")), seed, "id", F.col("s"), F.col("n"))
+    narrow = materialise(keyed.select("id", F.col("__pattern").alias("pattern"), F.col("__size").alias("size"), F.col("__h").alias("h")), "mix")
+    plan, sizes, targets = _planned(narrow, weights, total_share, max_passes)
+    rows = narrow.join(F.broadcast(plan), "pattern", "left").withColumn("passes", _passes("whole", "cut", "h"))
+    return rows.select(F.col("id").alias(id_col), "pattern", "size", "passes", (F.col("passes") * F.col("size")).alias("taken")), sizes, targets
+
+
+def mixed(
+    docs: DataFrame, sources: Column, size: Column, weights: tuple[float, ...] | dict[str | None, float], total_share: float = 1.5, max_passes: int = 2, seed: int = 11, id_col: str = "doc_id"
+) -> DataFrame:
+    """The mix itself: each row of docs as often as it is passed over. The plan is broadcast, texts don't shuffle."""
+    keyed = _keyed(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(id_col).alias("__id"), sources.alias("__s"), size.alias("__n")), seed, "__id", F.col("__s"), F.col("__n"))
+    narrow = materialise(keyed.select(F.col("__pattern").alias("pattern"), F.col("__size").alias("size"), F.col("__h").alias("h")), "mix")
+    plan = _planned(narrow, weights, total_share, max_passes)[0].withColumnsRenamed({"pattern": "__pattern", "whole": "__whole", "cut": "__cut"})
+    rows = keyed.select("__row", "__pattern", "__h").join(F.broadcast(plan), "__pattern", "left")
+    times = F.sequence(F.lit(1), F.lit(max_passes))
+    return rows.select("__row", F.explode(F.slice(times, 1, _passes("__whole", "__cut", "__h").cast("int")))).select("__row.*")
