@@ -16,6 +16,8 @@ from __future__ import annotations
 import math
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +83,17 @@ class ShardStore:
         df.write.parquet(self.folder.at(place))
         return self.folder.data_files(place)
 
+    @contextmanager
+    def _parts_apart(self) -> Iterator[None]:
+        """While this holds, a union of single partitions has as many partitions; Spark may zip them into one else."""
+        name = "spark.sql.unionOutputPartitioning"
+        before = self.spark.conf.get(name, "true")
+        self.spark.conf.set(name, "false")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
     def append(self, df: DataFrame) -> int:
         """Add an arrival; the version that holds it."""
         return self._commit(self._written(df), set())
@@ -92,7 +105,9 @@ class ShardStore:
             for at in range(0, len(bins), BINS_PER_JOB):
                 some = bins[at : at + BINS_PER_JOB]
                 parts = [self.spark.read.schema(schema).parquet(*(self.folder.at(name) for name, _ in b)).coalesce(1) for b in some]
-                self._commit(self._written(reduce(DataFrame.union, parts)), {name for b in some for name, _ in b})
+                with self._parts_apart():
+                    merged = self._written(reduce(DataFrame.union, parts))
+                self._commit(merged, {name for b in some for name, _ in b})
         return self.version()
 
     def read(self, version: int | None = None) -> DataFrame:
