@@ -37,4 +37,5 @@ def chat_log(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def event_counts(stream: DataFrame, size: str = "1 day", delay: str = "1 day") -> DataFrame:
     """Events by type in windows of time; late rows within the delay still count."""
-    return stream.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
