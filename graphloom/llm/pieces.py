@@ -3,9 +3,9 @@
 The vocabulary is that of a public BPE model with byte fallback. A text gets a blank in front, blanks become U+2581,
 and pieces are merged from single characters: of all neighbours whose join is a piece, the best-scored pair (leftmost
 on ties) is merged next, until no pair is left. With dropout, a candidate merge is skipped for good if a keyed hash of
-(seed, variant, word, place of the pair) falls below the rate. The variant of an occurrence of a word is a keyed hash
-of the document id and the occurrence, one of VARIANTS, so equal words are cut in several ways while results are
-reproducible and frequent words are looked up. A rate of 0 gives the model's usual encoding.
+(seed, variant, word, place of the pair) falls below the rate. The words of a document take VARIANTS variants in turn,
+from a keyed hash of the document id on, so equal words are cut in several ways while results are reproducible and
+frequent words are looked up. A rate of 0 gives the model's usual encoding.
 
 No piece of such a model holds a blank behind another character or a line feed, so words (blanks and what follows, and
 line feeds) are encoded independently, whole batches of distinct words at a time with NumPy.
@@ -33,7 +33,7 @@ from graphloom.llm.shingles import U, mix, stream
 BLANK = "▁"
 VARIANTS = 4
 #: Words of a worker's cache, and texts that are cut together.
-CACHE_WORDS, TOGETHER = 300_000, 256
+CACHE_WORDS, TOGETHER = 400_000, 256
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
 _NEVER = np.iinfo(np.int32).max
 
@@ -163,7 +163,9 @@ class Vocabulary:
             moved = np.cumsum(stay) - 1
             at = moved[at]
             word, token, letter, place, end, into, rank = (x[stay] for x in (word, token, letter, place, end, into, rank))
-            fresh = np.unique(np.concatenate((at, np.maximum(at - 1, 0))))
+            changed = np.zeros(len(token), bool)
+            changed[at] = changed[np.maximum(at - 1, 0)] = True
+            fresh = np.flatnonzero(changed)
             into[fresh], rank[fresh] = ranks(fresh)
         word, token, letter = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
         if (letter >= 0).any():
@@ -193,39 +195,46 @@ class Encoder:
         self.cache: list[dict[str, bytes]] = [{} for _ in range(VARIANTS if rate > 0 else 1)]
         self.literal = self.vocabulary.bytes[list(BLANK.encode())].astype(np.int32).tobytes()
 
-    def _variants(self, doc_id: object, n: int) -> list[int]:
-        if self.rate <= 0:
-            return [0] * n
-        key = int.from_bytes(hashlib.blake2b(f"{self.seed}/{doc_id}".encode(), digest_size=8).digest(), "little")
-        return (mix(np.arange(n, dtype=U) ^ U(key)) % U(VARIANTS)).tolist()
+    def _first(self, doc_id: object) -> int:
+        """The variant of a document's first word."""
+        key = hashlib.blake2b(f"{self.seed}/{doc_id}".encode(), digest_size=8).digest()
+        return int.from_bytes(key, "little") % len(self.cache)
 
     def encode(self, doc_ids: list, texts: list[str | None]) -> list[np.ndarray | None]:
         if sum(map(len, self.cache)) > CACHE_WORDS:
             for c in self.cache:
                 c.clear()
-        cut: list[list[str] | None] = []
-        chosen: list[list[int]] = []
-        missing: list[set[str]] = [set() for _ in self.cache]
+        step = len(self.cache)
+        cut: list[tuple[list[str | None], int] | None] = []
+        missing: list[set[str | None]] = [set() for _ in self.cache]
         for doc_id, text in zip(doc_ids, texts, strict=True):
-            if not text:
-                cut.append(None if text is None else [])
-                chosen.append([])
+            if text is None:
+                cut.append(None)
                 continue
-            words = self._with_literals(text) if BLANK in text else _WORDS.findall(BLANK + text.replace(" ", BLANK))
-            variants = self._variants(doc_id, len(words))
-            for w, v in zip(words, variants, strict=True):
-                if w not in self.cache[v]:
-                    missing[v].add(w)
-            cut.append(words)
-            chosen.append(variants)
+            words = self._with_literals(text) if BLANK in text else _WORDS.findall(BLANK + text.replace(" ", BLANK)) if text else []
+            first = self._first(doc_id)
+            for k in range(step):
+                v = (first + k) % step
+                missing[v].update(set(words[k::step]).difference(self.cache[v]))
+            cut.append((words, first))
         for v, words in enumerate(missing):
-            some = sorted(words - {None})
+            some = list(words - {None})
             for at in range(0, len(some), 20_000):
                 part = some[at : at + 20_000]
                 self.cache[v].update(zip(part, self.vocabulary.encode_words(part, np.full(len(part), v), self.rate, self.seed), strict=True))
         for c in self.cache:
             c[None] = self.literal
-        return [None if words is None else np.frombuffer(b"".join([self.cache[v][w] for w, v in zip(words, variants, strict=True)]), np.int32) for words, variants in zip(cut, chosen, strict=True)]
+        out: list[np.ndarray | None] = []
+        for one in cut:
+            if one is None:
+                out.append(None)
+                continue
+            words, first = one
+            ids = [b""] * len(words)
+            for k in range(step):
+                ids[k::step] = map(self.cache[(first + k) % step].__getitem__, words[k::step])
+            out.append(np.frombuffer(b"".join(ids), np.int32))
+        return out
 
     @staticmethod
     def _with_literals(text: str) -> list[str | None]:
@@ -247,10 +256,11 @@ def _encode(batches: Iterator[pa.RecordBatch], width: int, model_file: str, rate
             texts = part.column(width + 1).to_pylist()
             ids = encoder.encode(part.column(width).to_pylist(), texts)
             whole = [None if x is None else decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
-            sizes = [0 if x is None else len(x) for x in ids]
-            flat = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)])
-            ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            lists = pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()), mask=pa.array([x is None for x in ids])) if None in texts else pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))
+            if None in texts:
+                lists = pa.array(ids, pa.list_(pa.int32()))
+            else:
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids or [np.zeros(0, np.int32)]), pa.int32()))
             counts = pa.array([None if x is None else len(x) for x in ids], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:width], lists, counts, pa.array(whole, pa.bool_())], [*part.schema.names[:width], "ids", "n_tokens", "lossless"]
