@@ -279,7 +279,7 @@ def encode(docs: DataFrame, model_file: str, rate: float = 0.1, seed: int = 17,
 
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """encoded with the texts of its ids."""
-    schema = encoded.select("*", F.lit("").alias(text_col)).schema
+    schema = T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())])
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
