@@ -21,22 +21,27 @@ further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import connected_components, join_skewed, materialise
+from graphloom.llm.common import connected_components, discard, join_skewed, materialise, without
 from graphloom.llm.shingles import U, mix, shingle_sets
 
 #: Below this size bands index one-deletion neighbourhoods, under so many independent partitions.
 DEEP_BELOW, DEEP_PARTITIONS = 64, 3
 #: Signatures in a bucket, about; bytes of text that make one signature, about.
-BUCKET_SIGNATURES, BYTES_PER_SIGNATURE = 1_500_000, 8
+BUCKET_SIGNATURES, BYTES_PER_SIGNATURE = 400_000, 8
 #: Documents whose signatures are packed together.
-PACK_DOCS = 4096
+PACK_DOCS = 2048
+#: Pairs whose tokens are in a Python worker's memory at once.
+VERIFY_PAIRS = 256
+#: Rounds in which sets that share too little are left out.
+PRUNINGS = 2
 #: Lists of at most so many members are never skipped.
 SHORT_LIST = 12
 #: Bits of the filter of documents whose tokens are needed (2 MB): beyond, more tokens shuffle, the result is the same.
@@ -70,8 +75,9 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else np.zeros(0, values.dtype)
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray, kind: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, document, partition, units): per signature, and the units of its segment at the segment's first one.
+def signatures(tokens: np.ndarray, counts: np.ndarray, kind: int, percent: int) -> tuple[np.ndarray, ...]:
+    """(signature, document, partition, units, loss): units of its segment at the segment's first signature, else 0;
+    loss: the units that are lost where the signature is not looked for.
 
     tokens: the sorted sets of documents with counts > 0, one after the other, all of which have partners of that kind.
     """
@@ -97,18 +103,18 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, kind: int, percent: int)
         content = _sums(value, first)
         salt = (segment * U(64) + band.astype(U)) * U(4) + U(turn)
         plain = mix(content + mix(salt[first]))
-        out.append((plain, doc[first], np.full(len(first), turn), np.where(deep[first] & (size > 1), 2, 1)))
+        worth = np.where(deep[first] & (size > 1), 2, 1)
+        out.append((plain, doc[first], np.full(len(first), turn), worth, worth))
         rich = np.flatnonzero(deep & (np.repeat(size, size) > 1))
         if len(rich):
             whole = np.repeat(content, size)[rich]
-            out.append((mix(whole - value[rich] + mix(salt[rich])), doc[rich], np.full(len(rich), turn), np.zeros(len(rich), np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3)))
+            out.append((mix(whole - value[rich] + mix(salt[rich])), doc[rich], np.full(len(rich), turn), np.zeros(len(rich), np.int64), np.ones(len(rich), np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(4)))
 
 
-def _best_units(doc: np.ndarray, turn: np.ndarray, units: np.ndarray, n_docs: int) -> np.ndarray:
-    """Per document, the units of its best partition."""
-    sums = np.bincount(turn * n_docs + doc, weights=units, minlength=DEEP_PARTITIONS * n_docs)
-    return sums.reshape(-1, n_docs).max(0).astype(np.int64) if n_docs else np.zeros(0, np.int64)
+def units_of(doc: np.ndarray, turn: np.ndarray, units: np.ndarray, n_docs: int) -> np.ndarray:
+    """Per document and partition, its units; partitions are rows."""
+    return np.bincount(turn * n_docs + doc, weights=units, minlength=DEEP_PARTITIONS * n_docs).reshape(DEEP_PARTITIONS, n_docs).astype(np.int64)
 
 
 def _digests(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +129,18 @@ def _digests(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While this holds, Arrow batches have at most so many rows: they hold whole texts and sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _taken(tokens: np.ndarray, counts: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The tokens of some of the documents."""
     mask = np.zeros(len(counts), bool)
@@ -130,13 +148,13 @@ def _taken(tokens: np.ndarray, counts: np.ndarray, which: np.ndarray) -> np.ndar
     return tokens[np.repeat(mask, counts)]
 
 
-_PACKED = "bucket int, doc_id long, n long, s1 long, s2 long, units array<int>, tokens binary, sids binary, sigs binary, ords binary"
+_PACKED = "bucket int, doc_id long, n long, s1 long, s2 long, units array<int>, pack long, place int, sigs binary, codes binary"
 
 
 def _index(batches: Iterator[pa.RecordBatch], percent: int, width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows of documents (bucket -1) and of packed signatures, by bucket."""
     names = [c.split()[0] for c in _PACKED.split(", ")]
-    types = [pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int32()), *[pa.binary()] * 4]
+    types = [pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def rows(**columns: list) -> pa.RecordBatch:
         k = len(next(iter(columns.values())))
@@ -147,7 +165,8 @@ def _index(batches: Iterator[pa.RecordBatch], percent: int, width: int, buckets:
             part = batch.slice(at, PACK_DOCS)
             tokens, counts = shingle_sets(part.column(1).to_pylist(), width)
             s1, s2 = _digests(tokens, counts)
-            units = np.zeros((len(counts), 2), np.int64)
+            # Per kind and partition: segments that aren't empty, and units.
+            units = np.zeros((len(counts), 2, DEEP_PARTITIONS, 2), np.int64)
             # Copies in this pack are indexed once.
             once = np.zeros(len(counts), bool)
             once[np.unique(s1, return_index=True)[1]] = True
@@ -158,67 +177,68 @@ def _index(batches: Iterator[pa.RecordBatch], percent: int, width: int, buckets:
                 which = np.flatnonzero(chosen)
                 if not len(which):
                     continue
-                sig, doc, turn, worth = signatures(_taken(tokens, counts, which), counts[which], kind, percent)
-                units[which, kind] = _best_units(doc, turn, worth, len(which))
-                found.append((sig, which[doc].astype(np.uint16) | np.uint16(kind << 15)))
-            start = np.cumsum(counts) - counts
-            small = [tokens[start[k] : start[k] + counts[k]].tobytes() if 0 < counts[k] < DEEP_BELOW * 2 else None for k in range(len(counts))]
-            yield rows(bucket=[-1] * len(counts), doc_id=part.column(0).to_pylist(), n=counts.tolist(), s1=s1.tolist(), s2=s2.tolist(), units=units.tolist(), tokens=small)
+                sig, doc, turn, worth, loss = signatures(_taken(tokens, counts, which), counts[which], kind, percent)
+                units[which, kind, :, 0] = units_of(doc, turn, worth > 0, len(which)).T
+                units[which, kind, :, 1] = units_of(doc, turn, worth, len(which)).T
+                # Document in twelve bits, then partition, loss and kind.
+                found.append((sig, (which[doc] | turn << 12 | (loss - 1) << 14 | kind << 15).astype(np.uint16)))
+            # A pack is named by what is in it, so that a task that runs again names it alike.
+            pack = int((mix(s1.view(U) + np.arange(len(s1), dtype=U))).sum().view(np.int64)) if len(s1) else 0
+            k = len(counts)
+            yield rows(bucket=[-1] * k, doc_id=part.column(0).to_pylist(), n=counts.tolist(), s1=s1.tolist(), s2=s2.tolist(), units=units.reshape(k, -1).tolist(), pack=[pack] * k, place=list(range(k)))
             if not found:
                 continue
-            sig, ords = (np.concatenate(x) for x in zip(*found, strict=True))
-            bucket = ((sig >> U(40)) % U(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)
+            sig, codes = (np.concatenate(x) for x in zip(*found, strict=True))
+            bucket = ((sig >> U(40)) % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            sig, ords, bucket = sig[order], ords[order], bucket[order]
+            bucket, codes = bucket[order], codes[order]
+            # Six bytes of a signature are enough: the bucket tells more, and a chance hit is verified away.
+            short = sig[order].view(np.uint8).reshape(-1, 8)[:, :6]
             first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            last = np.append(first[1:], len(sig))
-            sids, packed = [], []
-            for a, b in zip(first, last, strict=True):
-                here, back = np.unique(ords[a:b], return_inverse=True)
-                sids.append(s1[here & 0x7FFF].tobytes() + (here >> 15).astype(np.uint8).tobytes())
-                packed.append(back.astype(np.uint16).tobytes())
+            last = np.append(first[1:], len(bucket))
             for a in range(0, len(first), 64):
-                s = slice(a, a + 64)
-                yield rows(bucket=bucket[first[s]].tolist(), sids=sids[s], sigs=[sig[x:y].tobytes() for x, y in zip(first[s], last[s], strict=True)], ords=packed[s])
+                here = list(zip(first[a : a + 64], last[a : a + 64], strict=True))
+                yield rows(bucket=[int(bucket[x]) for x, _ in here], pack=[pack] * len(here), sigs=[short[x:y].tobytes() for x, y in here], codes=[codes[x:y].tobytes() for x, y in here])
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(list, sid, kind, weight) of the signatures that at least two sets share; weight: signatures with these members."""
-    sigs, sids, kinds = [], [], []
+    """(list, pack, place, code, weight) of the signatures that at least two documents share.
+
+    weight: signatures with just these members; code: partition, loss and kind, as _index packs them.
+    """
+    sigs, own, packs = [], [], []
     for batch in batches:
-        for own, sig, ords in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            k = len(own) // 9
-            at = np.frombuffer(ords, np.uint16)
-            sigs.append(np.frombuffer(sig, U))
-            sids.append(np.frombuffer(own, U, k)[at])
-            kinds.append(np.frombuffer(own, np.uint8, k, 8 * k)[at])
+        for pack, short, codes in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            sig = np.zeros((len(short) // 6, 8), np.uint8)
+            sig[:, :6] = np.frombuffer(short, np.uint8).reshape(-1, 6)
+            sigs.append(sig.view(U)[:, 0])
+            own.append(np.frombuffer(codes, np.uint16).astype(np.int64) | len(packs) << 16)
+            packs.append(pack)
     if not sigs:
         return
-    sig, sid, kind = np.concatenate(sigs), np.concatenate(sids), np.concatenate(kinds)
-    del sigs, sids, kinds
+    sig, who, pack = np.concatenate(sigs), np.concatenate(own), np.array(packs, np.int64)
+    del sigs, own
     order = np.argsort(sig)
     ordered = sig[order]
     same = ordered[1:] == ordered[:-1]
     shared = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-    sig, sid, kind = sig[shared], sid[shared], kind[shared]
-    order = np.lexsort((kind, sid, sig))
-    sig, sid, kind = sig[order], sid[order], kind[order]
-    keep = np.concatenate(([True], (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1]))) if len(sig) else np.zeros(0, bool)
-    sig, sid, kind = sig[keep], sid[keep], kind[keep]
-    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+    sig, who = sig[shared], who[shared]
+    if not len(sig):
+        return
+    order = np.lexsort((who, sig))
+    sig, who = sig[order], who[order]
+    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     size = np.diff(np.append(first, len(sig)))
-    name = mix(_sums(mix(sid + kind.astype(U)), first) + size.astype(U))
-    useful = (size > 1) & (_sums((kind == _OWN).astype(np.int64), first) > 0)
+    name = mix(_sums(mix(pack[who >> 16].view(U) * U(0x9E3779B97F4A7C15) + (who & 0xFFFF).astype(U)), first) + size.astype(U))
+    useful = _sums((who >> 15 & 1 == _OWN).astype(np.int64), first) > 0
     name, first, size = name[useful], first[useful], size[useful]
     names, at, weight = np.unique(name, return_index=True, return_counts=True)
     for a in range(0, len(names), 20_000):
         s = slice(a, a + 20_000)
         n, f = size[at[s]], first[at[s]]
-        member = np.repeat(f - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(names[s], n).view(np.int64)), pa.array(sid[member].view(np.int64)), pa.array(kind[member].astype(np.int32)), pa.array(np.repeat(weight[s], n).astype(np.int64))],
-            ["list", "sid", "kind", "weight"],
-        )
+        member = who[np.repeat(f - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        columns = (np.repeat(names[s], n).view(np.int64), pack[member >> 16], (member & PACK_DOCS - 1).astype(np.int32), (member >> 12 & 15).astype(np.int32), np.repeat(weight[s], n).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["list", "pack", "place", "code", "weight"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], width: int, wanted: bytes) -> Iterator[pa.RecordBatch]:
@@ -284,19 +304,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     size = base.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     buckets = max(1, -(-size // (BYTES_PER_SIGNATURE * BUCKET_SIGNATURES)))
-    index = materialise(base.mapInArrow(partial(_index, percent=percent, width=width, buckets=buckets), _PACKED), "index")
-    rows = index.where("bucket < 0").select(F.col("doc_id").alias("i"), "n", "s1", "s2", "units", "tokens")
+    with _batches_of(docs.sparkSession, PACK_DOCS):
+        index = materialise(base.mapInArrow(partial(_index, percent=percent, width=width, buckets=buckets), _PACKED), "index")
+    rows = materialise(index.where("bucket < 0").select(F.col("doc_id").alias("i"), "n", "s1", "s2", "units", "pack", "place"), "rows")
     total = rows.count()
     # `worth`: a copy that its pack didn't index has no units of its own.
     classes = materialise(
         rows.where("n > 0").groupBy("s1", "s2").agg(
-            F.min("i").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.max("units").alias("worth"), F.max("tokens").alias("tokens")
+            F.min("i").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.max("units").alias("worth")
         ),
         "classes",
     )
-    packed = index.where("bucket >= 0").select("bucket", "sids", "sigs", "ords").repartition(buckets, "bucket")
-    found = packed.select("sids", "sigs", "ords").mapInArrow(_lists, "list long, sid long, kind int, weight long")
-    lists = materialise(found.groupBy("list", "sid", "kind").agg(F.sum("weight").alias("weight")), "lists")
+    packed = index.where("bucket >= 0").select("bucket", "pack", "sigs", "codes").repartition(buckets, "bucket")
+    found = packed.drop("bucket").mapInArrow(_lists, "list long, pack long, place int, code int, weight long")
+    kind, turn, loss = F.shiftright("code", 3), F.col("code").bitwiseAND(3), F.shiftright("code", 2).bitwiseAND(1) + 1
+    shared = materialise(found.select("list", "pack", "place", kind.alias("kind"), turn.alias("turn"), loss.alias("loss"), "weight"), "shared")
+    discard(index)
+    # Documents that are indexed stand for their class; copies in several packs become one member.
+    indexed = rows.where("units[0] > 0 or units[2] > 0 or units[4] > 0").select("pack", "place", "s1", "s2")
+    once = shared.groupBy("list", "pack", "place", "kind", "turn", "loss").agg(F.sum("weight").alias("weight"))
+    lists = once.join(indexed, ["pack", "place"]).groupBy("list", "s1", "s2", "kind", "turn", "loss").agg(F.max("weight").alias("weight"))
+    lists = materialise(lists, "lists")
     links = _links(lists, classes, base, percent, width)
     components = connected_components(links).withColumnsRenamed({"node": "rep", "component": "least"})
     named = classes.select("s1", "s2", "rep", "size").join(components, "rep", "left").select("s1", "s2", "size", F.coalesce("least", "rep").alias("component_id"))
@@ -307,23 +335,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _links(lists: DataFrame, classes: DataFrame, base: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs (a, b) of similar classes that connect all which are connected."""
-    sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("f"))
-    met = lists.join(sizes, "list")
-    popular = met.groupBy("sid").agg(F.sum(F.col("weight") * (F.col("f") - 1)).alias("met"))
-    known = classes.select(F.col("s1").alias("sid"), "rep", "n", "worth", F.col("tokens").alias("small"))
-    members = materialise(met.join(popular, "sid").join(known.select("sid", "rep", "n", "worth"), "sid"), "members")
+    members = lists.join(classes.select("s1", "s2", "rep", "n", "worth"), ["s1", "s2"])
+    for _ in range(PRUNINGS):
+        members = materialise(_pruned(members, percent), "members")
     wanted = members.select("rep").distinct()
     bits = _filter_bits(wanted)
     scanned = base.where("i is not null").mapInArrow(partial(_tokens, width=width, wanted=bits), "rep long, tokens binary")
-    tokens = materialise(scanned.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.first("tokens").alias("tokens")), "tokens")
+    with _batches_of(base.sparkSession, PACK_DOCS):
+        tokens = materialise(scanned.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.first("tokens").alias("tokens")), "tokens")
 
-    def pairs(df: DataFrame) -> DataFrame:
+    def similar(met: DataFrame, not_these: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The distinct pairs among (rep, n, rep2, n2) whose sizes fit, and those of them that are similar."""
         fits = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-        return df.where(fits & (F.col("rep") != F.col("rep2"))).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-
-    pivots = members.groupBy("list").agg(F.max_by(F.struct(F.col("rep").alias("rep2"), F.col("n").alias("n2")), F.struct(F.col("kind") == _OWN, "met", "sid")).alias("p"))
-    stars = materialise(pairs(members.select("list", "rep", "n").join(pivots.select("list", "p.*"), "list")), "stars")
-    first = materialise(_verified(stars, tokens, percent), "links")
+        pairs = met.where(fits & (F.col("rep") != F.col("rep2"))).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+        pairs = materialise(pairs if not_these is None else pairs.join(not_these, ["a", "b"], "left_anti"), "pairs")
+        close = materialise(_plausible(pairs, members, percent), "plausible")
+        with _batches_of(base.sparkSession, VERIFY_PAIRS):
+            return pairs, materialise(_verified(close, tokens, percent), "links")
+
+    popular = members.groupBy("rep").agg(F.sum(F.col("weight") * (F.col("f") - 1)).alias("met"))
+    pivots = members.join(popular, "rep").groupBy("list").agg(F.max_by(F.struct(F.col("rep").alias("rep2"), F.col("n").alias("n2")), F.struct(F.col("kind") == _OWN, "met", "rep")).alias("p"))
+    stars, first = similar(members.select("list", "rep", "n").join(pivots.select("list", "p.*"), "list"))
     parts = connected_components(first).withColumnsRenamed({"node": "rep", "component": "part"})
     split = materialise(_kept(members.join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep")), percent), "split")
     counts = split.groupBy("list", "part").agg(F.count(F.lit(1)).alias("c"))
@@ -333,35 +365,78 @@ def _links(lists: DataFrame, classes: DataFrame, base: DataFrame, percent: int,
     asks = apart.where("part <> major").select("list", "rep", "n", "kind", "part", "keeps")
     told = apart.select("list", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("kind").alias("kind2"), F.col("part").alias("part2"), F.col("keeps").alias("keeps2"))
     larger = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("rep") > F.col("rep2")))
-    rule = (F.col("part") != F.col("part2")) & (F.col("kind") + F.col("kind2") < 2) & F.when(larger, F.col("keeps")).otherwise(F.col("keeps2"))
-    rest = pairs(asks.join(told, "list").where(rule)).join(stars, ["a", "b"], "left_anti")
-    second = materialise(_verified(materialise(rest, "pairs"), tokens, percent), "links")
+    fits = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
+    rule = fits & (F.col("part") != F.col("part2")) & (F.col("kind") + F.col("kind2") < 2) & F.when(larger, F.col("keeps")).otherwise(F.col("keeps2"))
+    _, second = similar(asks.join(told, "list").where(rule), stars)
     return first.unionByName(second).unionByName(_of_poor(classes, base, percent, width))
 
 
+def _low(n: Column) -> Column:
+    """The largest size below the band of n."""
+    return F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double") + 0.5))).cast("long") - 1
+
+
+def _most_apart(x: Column, y: Column, percent: int) -> Column:
+    return F.floor((x + y) * (100 - percent) / (100 + percent))
+
+
+def _worth(turn: Column | int, what: int, kind: Column | None = None) -> Column:
+    """Of a set's segments (what = 0) or units (what = 1), those in the band and partition that a row is about."""
+    return F.element_at("worth", ((F.col("kind") if kind is None else kind) * DEEP_PARTITIONS + turn) * 2 + what + 1)
+
+
+def _needs(percent: int) -> Column:
+    """The most tokens in which a set and a partner in the band that the row is about differ."""
+    partner = F.when(F.col("kind") == _OWN, F.floor(F.col("n") * 100 / percent)).otherwise(_low(F.col("n")))
+    return _most_apart(F.col("n"), partner, percent)
+
+
+def _pruned(members: DataFrame, percent: int) -> DataFrame:
+    """members, with the length f of their list, without the sets that can't have a partner.
+
+    At most H segments of two similar sets differ, so in each partition they share all but H of a set's non-empty
+    segments: a set that shares fewer with all others together has no partner.
+    """
+    turns = range(DEEP_PARTITIONS)
+    shares = members.groupBy("rep", "kind").agg(*(F.coalesce(F.sum(F.when(F.col("turn") == t, F.col("weight"))), F.lit(0)).alias(f"s{t}") for t in turns))
+    enough = F.lit(True)
+    for t in turns:
+        enough = enough & (F.col(f"s{t}") >= _worth(t, 0) - _needs(percent))
+    columns = ["list", "rep", "n", "worth", "kind", "turn", "loss", "weight"]
+    left = members.select(*columns).join(shares, ["rep", "kind"]).where(enough).select(*columns)
+    lengths = left.groupBy("list").agg(F.count(F.lit(1)).alias("f"), F.min("kind").alias("least")).where(f"f > 1 and least = {_OWN}").select("list", "f")
+    return left.join(lengths, "list")
+
+
+def _plausible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those that share all but H of each other's non-empty segments in the first partition."""
+    rows = members.where("turn = 0").select("list", "rep", "n", "kind", "weight", _worth(0, 0).alias("full"))
+    of_a, of_b = (rows.select("list", *([F.col("weight")] if x == "a" else []), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "kind", "full"))) for x in "ab")
+    met = pairs.join(of_a, pairs["a"] == of_a["rep_a"]).join(of_b, (F.col("b") == F.col("rep_b")) & (of_a["list"] == of_b["list"])).where("kind_a + kind_b < 2")
+    shared = met.groupBy("a", "b", "n_a", "n_b", "full_a", "full_b").agg(F.sum("weight").alias("shared"))
+    return shared.where(F.col("shared") >= F.greatest("full_a", "full_b") - _most_apart(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
+
+
 def _kept(members: DataFrame, percent: int) -> DataFrame:
     """members with `keeps`: whether the allocation of the set needs the list.
 
-    A set skips its longest lists as long as the units that stay are enough. In bands with one-deletion neighbourhoods
-    a list may stand for two units, so each skipped signature there is counted as two.
+    A set needs the lists of the partition where it has most units; of these it skips the longest, as long as the
+    units that stay are enough.
     """
-    longest = Window.partitionBy("rep", "kind").orderBy(F.desc("f"), "list").rowsBetween(Window.unboundedPreceding, 0)
-    band = F.floor(F.log2(F.col("n").cast("double") + 0.5)) - F.col("kind")
-    price = F.col("weight") * F.when(F.pow(F.lit(2.0), band + 1) <= DEEP_BELOW, 2).otherwise(1)
-    low = F.pow(F.lit(2.0), F.floor(F.log2(F.col("n").cast("double") + 0.5))).cast("long") - 1
-    partner = F.when(F.col("kind") == _OWN, F.floor(F.col("n") * 100 / percent)).otherwise(low)
-    need = F.floor((F.col("n") + partner) * (100 - percent) / (100 + percent)) + 1
-    spare = F.element_at("worth", F.col("kind") + 1) - need
-    spent = F.sum(price).over(longest)
-    return members.withColumn("keeps", (F.col("f") <= SHORT_LIST) | (spent > spare))
+    turns = [F.struct(_worth(t, 1).alias("u"), F.lit(-t).alias("t")) for t in range(DEEP_PARTITIONS)]
+    best = F.greatest(*turns)
+    longest = Window.partitionBy("rep", "kind", "turn").orderBy(F.desc("f"), "list").rowsBetween(Window.unboundedPreceding, 0)
+    spent = F.sum(F.col("weight") * F.col("loss")).over(longest)
+    needed = (F.col("f") <= SHORT_LIST) | (spent > best["u"] - _needs(percent) - 1)
+    return members.withColumn("keeps", (F.col("turn") == -best["t"]) & needed)
 
 
 def _of_poor(classes: DataFrame, base: DataFrame, percent: int, width: int) -> DataFrame:
     """Links of the sets whose units don't suffice, by comparing them with every document, some at a time."""
     n = F.col("n")
-    low = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double") + 0.5))).cast("long") - 1
-    lacks = F.col("worth")[0] < F.floor((n + F.floor(n * 100 / percent)) * (100 - percent) / (100 + percent)) + 1
-    lacks |= (n * percent <= low * 100) & (F.col("worth")[1] < F.floor((n + low) * (100 - percent) / (100 + percent)) + 1)
+    units = [F.greatest(*(_worth(t, 1, F.lit(kind)) for t in range(DEEP_PARTITIONS))) for kind in (_OWN, _BELOW)]
+    lacks = units[0] <= _most_apart(n, F.floor(n * 100 / percent), percent)
+    lacks |= (n * percent <= _low(n) * 100) & (units[1] <= _most_apart(n, _low(n), percent))
     poor = materialise(classes.where(lacks).select("rep"), "poor")
     none = poor.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     total = poor.count()
@@ -397,4 +472,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     """docs without those of a component that aren't its smallest id; rows that repeat an id stay or go together."""
     found = jaccard_components(docs, id_col, text_col, percent, width).where(~F.col(id_col).eqNullSafe(F.col("component_id")))
     gone = materialise(found.select(F.col(id_col).alias("__gone")).where("__gone is not null").distinct(), "gone")
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    return without(docs, id_col, gone, "__gone")
