@@ -42,8 +42,6 @@ PACK_DOCS = 2048
 VERIFY_PAIRS = 256
 #: Rounds in which sets that share too little are left out.
 PRUNINGS = 2
-#: Lists of at most so many members are never skipped.
-SHORT_LIST = 12
 #: Bits of the filter of documents whose tokens are needed (2 MB): beyond, more tokens shuffle, the result is the same.
 FILTER_BITS = 1 << 24
 _OWN, _BELOW = 0, 1
@@ -357,7 +355,12 @@ def _links(lists: DataFrame, classes: DataFrame, base: DataFrame, percent: int,
     pivots = members.join(popular, "rep").groupBy("list").agg(F.max_by(F.struct(F.col("rep").alias("rep2"), F.col("n").alias("n2")), F.struct(F.col("kind") == _OWN, "met", "rep")).alias("p"))
     stars, first = similar(members.select("list", "rep", "n").join(pivots.select("list", "p.*"), "list"))
     parts = connected_components(first).withColumnsRenamed({"node": "rep", "component": "part"})
-    split = materialise(_kept(members.join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep")), percent), "split")
+    split = members.drop("f").join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    # Only lists across parts matter now, and of these only sets that share enough in such lists.
+    for _ in range(PRUNINGS):
+        crossed = split.groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("list")
+        split = materialise(_pruned(split.drop("f").join(crossed, "list", "left_semi"), percent), "split")
+    split = materialise(_kept(split, percent), "split")
     counts = split.groupBy("list", "part").agg(F.count(F.lit(1)).alias("c"))
     largest = counts.groupBy("list").agg(F.max_by("part", F.struct("c", "part")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("list", "major")
     apart = split.join(largest, "list")
@@ -402,7 +405,7 @@ def _pruned(members: DataFrame, percent: int) -> DataFrame:
     enough = F.lit(True)
     for t in turns:
         enough = enough & (F.col(f"s{t}") >= _worth(t, 0) - _needs(percent))
-    columns = ["list", "rep", "n", "worth", "kind", "turn", "loss", "weight"]
+    columns = [c for c in ("list", "rep", "n", "worth", "kind", "turn", "loss", "weight", "part") if c in members.columns]
     left = members.select(*columns).join(shares, ["rep", "kind"]).where(enough).select(*columns)
     lengths = left.groupBy("list").agg(F.count(F.lit(1)).alias("f"), F.min("kind").alias("least")).where(f"f > 1 and least = {_OWN}").select("list", "f")
     return left.join(lengths, "list")
@@ -427,8 +430,7 @@ def _kept(members: DataFrame, percent: int) -> DataFrame:
     best = F.greatest(*turns)
     longest = Window.partitionBy("rep", "kind", "turn").orderBy(F.desc("f"), "list").rowsBetween(Window.unboundedPreceding, 0)
     spent = F.sum(F.col("weight") * F.col("loss")).over(longest)
-    needed = (F.col("f") <= SHORT_LIST) | (spent > best["u"] - _needs(percent) - 1)
-    return members.withColumn("keeps", (F.col("turn") == -best["t"]) & needed)
+    return members.withColumn("keeps", (F.col("turn") == -best["t"]) & (spent > best["u"] - _needs(percent) - 1))
 
 
 def _of_poor(classes: DataFrame, base: DataFrame, percent: int, width: int) -> DataFrame:

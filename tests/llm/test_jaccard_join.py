@@ -63,11 +63,9 @@ def test_other_thresholds(docs):
     assert got(J.jaccard_components(docs(rows), percent=60, width=3)) == brute(rows, 60, 3)
 
 
-def test_long_lists_and_sets_without_enough_units(docs, monkeypatch):
-    """All lists count as long, and every small set as one that has to be compared with all."""
-    monkeypatch.setattr(J, "SHORT_LIST", 1)
+def test_sets_without_enough_units(docs, monkeypatch):
+    """Every set counts as one that has to be compared with all."""
     rows = corpus(4, 80)
-    assert got(J.jaccard_components(docs(rows))) == brute(rows)
     monkeypatch.setattr(J, "units_of", lambda doc, turn, units, n: np.zeros((J.DEEP_PARTITIONS, n), np.int64))
     assert got(J.jaccard_components(docs(rows[:40]))) == brute(rows[:40])
 
