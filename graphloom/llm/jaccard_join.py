@@ -11,7 +11,9 @@ its larger set keeps. Sets whose segments happen to be worth too little are comp
 
 Equal sets are one class from the start (by a 128-bit digest). Lists with equal members are merged. Within a list,
 first every member is verified against one pivot, the member met most often; then, among members that are still in
-different components, all pairs across components are verified. No list is ever paired with itself in full.
+different components, all pairs across components are verified. No list is ever paired with itself in full. Before
+that, a pair's parity bitmaps are compared (a bit tells whether an odd number of tokens fall on it): bitmaps differ in at
+most as many bits as the sets do in tokens, so pairs whose bitmaps are more than H apart are left out and none is lost.
 
 Defined results: null and empty texts have no shingles and link with nothing; rows that repeat an id are one document
 for the component; the component of a null id counts the ids that aren't null; an empty table gives an empty result;
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ PACK_DOCS = 2048
 VERIFY_PAIRS = 256
 #: Rounds in which sets that share too little are left out.
 PRUNINGS = 2
+#: 64-bit words of a set's parity bitmap.
+PARITY_WORDS = 16
 #: Bits of the filter of documents whose tokens are needed (2 MB): beyond, more tokens shuffle, the result is the same.
 FILTER_BITS = 1 << 24
 _OWN, _BELOW = 0, 1
@@ -239,8 +243,19 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["list", "pack", "place", "code", "weight"])
 
 
+def parities(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per set, PARITY_WORDS words: each bit is the parity of the number of tokens that fall on it."""
+    bits = np.uint64(PARITY_WORDS * 64)
+    at = np.repeat(np.arange(len(counts), dtype=np.int64) * int(bits), counts) + (tokens % bits).astype(np.int64)
+    odd = np.bincount(at, minlength=len(counts) * int(bits)) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64).reshape(len(counts), PARITY_WORDS)
+
+
+_TOKENS = "rep long, n long, bits array<long>, tokens binary"
+
+
 def _tokens(batches: Iterator[pa.RecordBatch], width: int, wanted: bytes) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tokens) of the documents that the filter lets pass."""
+    """(doc_id, size, parity bitmap, tokens) of the documents that the filter lets pass."""
     bits = np.frombuffer(wanted, np.uint8)
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -250,9 +265,9 @@ def _tokens(batches: Iterator[pa.RecordBatch], width: int, wanted: bytes) -> Ite
             some = rows[a : a + 512]
             tokens, counts = shingle_sets(batch.column(1).take(pa.array(some)).to_pylist(), width)
             ends = np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[some]), pa.array([tokens[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)], pa.binary())], ["rep", "tokens"]
-            )
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(parities(tokens, counts).ravel()))
+            sets = pa.array([tokens[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(counts), words, sets], ["rep", "n", "bits", "tokens"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -338,40 +353,51 @@ def _links(lists: DataFrame, classes: DataFrame, base: DataFrame, percent: int,
         members = materialise(_pruned(members, percent), "members")
     wanted = members.select("rep").distinct()
     bits = _filter_bits(wanted)
-    scanned = base.where("i is not null").mapInArrow(partial(_tokens, width=width, wanted=bits), "rep long, tokens binary")
+    scanned = base.where("i is not null").mapInArrow(partial(_tokens, width=width, wanted=bits), _TOKENS)
     with _batches_of(base.sparkSession, PACK_DOCS):
-        tokens = materialise(scanned.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.first("tokens").alias("tokens")), "tokens")
-
-    def similar(met: DataFrame, not_these: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """The distinct pairs among (rep, n, rep2, n2) whose sizes fit, and those of them that are similar."""
-        fits = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-        pairs = met.where(fits & (F.col("rep") != F.col("rep2"))).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-        pairs = materialise(pairs if not_these is None else pairs.join(not_these, ["a", "b"], "left_anti"), "pairs")
-        close = materialise(_plausible(pairs, members, percent), "plausible")
+        tokens = materialise(scanned.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.first(F.struct("n", "bits", "tokens")).alias("s")).select("rep", "s.*"), "tokens")
+
+    bitmaps = tokens.select("rep", "n", "bits")
+    fits = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
+    near = _bits_apart(F.col("bits"), F.col("bits2")) <= _most_apart(F.col("n"), F.col("n2"), percent)
+
+    def similar(pairs: DataFrame) -> DataFrame:
         with _batches_of(base.sparkSession, VERIFY_PAIRS):
-            return pairs, materialise(_verified(close, tokens, percent), "links")
+            return materialise(_verified(pairs, tokens.select("rep", "tokens"), percent), "links")
 
     popular = members.groupBy("rep").agg(F.sum(F.col("weight") * (F.col("f") - 1)).alias("met"))
     pivots = members.join(popular, "rep").groupBy("list").agg(F.max_by(F.struct(F.col("rep").alias("rep2"), F.col("n").alias("n2")), F.struct(F.col("kind") == _OWN, "met", "rep")).alias("p"))
-    stars, first = similar(members.select("list", "rep", "n").join(pivots.select("list", "p.*"), "list"))
+    met = members.select("list", "rep", "n").join(pivots.select("list", "p.*"), "list").where(fits & (F.col("rep") != F.col("rep2")))
+    stars = materialise(met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct(), "stars")
+    ends = stars.join(bitmaps.withColumnRenamed("rep", "a"), "a").join(bitmaps.toDF("b", "n2", "bits2"), "b")
+    first = similar(materialise(ends.where(near).select("a", "b"), "pairs"))
     parts = connected_components(first).withColumnsRenamed({"node": "rep", "component": "part"})
     split = members.drop("f").join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
     # Only lists across parts matter now, and of these only sets that share enough in such lists.
     for _ in range(PRUNINGS):
         crossed = split.groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("list")
         split = materialise(_pruned(split.drop("f").join(crossed, "list", "left_semi"), percent), "split")
-    split = materialise(_kept(split, percent), "split")
+    kept = _kept(split, percent)
+    split = materialise(kept.join(bitmaps.select("rep", "bits"), "rep"), "split")
     counts = split.groupBy("list", "part").agg(F.count(F.lit(1)).alias("c"))
     largest = counts.groupBy("list").agg(F.max_by("part", F.struct("c", "part")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("list", "major")
     apart = split.join(largest, "list")
     # Of each pair across parts, one side at least is outside its list's largest part.
-    asks = apart.where("part <> major").select("list", "rep", "n", "kind", "part", "keeps")
-    told = apart.select("list", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("kind").alias("kind2"), F.col("part").alias("part2"), F.col("keeps").alias("keeps2"))
+    columns = ["n", "kind", "part", "keeps", "spent", "full", "bits"]
+    asks = apart.where("part <> major").select("list", "rep", *columns)
+    told = apart.select("list", F.col("rep").alias("rep2"), *(F.col(c).alias(f"{c}2") for c in columns))
     larger = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("rep") > F.col("rep2")))
-    fits = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-    rule = fits & (F.col("part") != F.col("part2")) & (F.col("kind") + F.col("kind2") < 2) & F.when(larger, F.col("keeps")).otherwise(F.col("keeps2"))
-    _, second = similar(asks.join(told, "list").where(rule), stars)
-    return first.unionByName(second).unionByName(_of_poor(classes, base, percent, width))
+    # Without deletions, the rarest list that two similar sets share leaves each of them all that they must share.
+    sparse = F.least("spent", "spent2") >= F.greatest("full", "full2") - _most_apart(F.col("n"), F.col("n2"), percent)
+    enough = F.when(_is_deep(), F.when(larger, F.col("keeps")).otherwise(F.col("keeps2"))).otherwise(sparse)
+    rule = fits & near & (F.col("part") != F.col("part2")) & (F.col("kind") + F.col("kind2") < 2) & enough
+    pairs = asks.join(told, "list").where(rule).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    return first.unionByName(similar(materialise(pairs, "pairs"))).unionByName(_of_poor(classes, base, percent, width))
+
+
+def _bits_apart(x: Column, y: Column) -> Column:
+    """In how many bits two parity bitmaps differ."""
+    return reduce(Column.__add__, (F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(PARITY_WORDS)))
 
 
 def _low(n: Column) -> Column:
@@ -411,26 +437,26 @@ def _pruned(members: DataFrame, percent: int) -> DataFrame:
     return left.join(lengths, "list")
 
 
-def _plausible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those that share all but H of each other's non-empty segments in the first partition."""
-    rows = members.where("turn = 0").select("list", "rep", "n", "kind", "weight", _worth(0, 0).alias("full"))
-    of_a, of_b = (rows.select("list", *([F.col("weight")] if x == "a" else []), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "kind", "full"))) for x in "ab")
-    met = pairs.join(of_a, pairs["a"] == of_a["rep_a"]).join(of_b, (F.col("b") == F.col("rep_b")) & (of_a["list"] == of_b["list"])).where("kind_a + kind_b < 2")
-    shared = met.groupBy("a", "b", "n_a", "n_b", "full_a", "full_b").agg(F.sum("weight").alias("shared"))
-    return shared.where(F.col("shared") >= F.greatest("full_a", "full_b") - _most_apart(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
-
-
 def _kept(members: DataFrame, percent: int) -> DataFrame:
     """members with `keeps`: whether the allocation of the set needs the list.
 
     A set needs the lists of the partition where it has most units; of these it skips the longest, as long as the
-    units that stay are enough.
+    units that stay are enough. `spent` is what the list and the set's longer ones are worth, `full` what all are.
+    Where bands index no deletions, rows that aren't kept are left out: the rarest list that a set shares with a
+    partner is kept by both, since lists have one order and the partner shares no more than `spent` from there on.
     """
     turns = [F.struct(_worth(t, 1).alias("u"), F.lit(-t).alias("t")) for t in range(DEEP_PARTITIONS)]
     best = F.greatest(*turns)
     longest = Window.partitionBy("rep", "kind", "turn").orderBy(F.desc("f"), "list").rowsBetween(Window.unboundedPreceding, 0)
     spent = F.sum(F.col("weight") * F.col("loss")).over(longest)
-    return members.withColumn("keeps", (F.col("turn") == -best["t"]) & (spent > best["u"] - _needs(percent) - 1))
+    found = members.withColumns({"spent": spent, "full": _worth(0, 0)})
+    found = found.withColumn("keeps", (F.col("turn") == -best["t"]) & (F.col("spent") > best["u"] - _needs(percent) - 1))
+    return found.where(F.col("keeps") | _is_deep())
+
+
+def _is_deep() -> Column:
+    """Whether the band that a row is about indexes one-deletion neighbourhoods."""
+    return F.col("n") < F.when(F.col("kind") == _OWN, DEEP_BELOW).otherwise(2 * DEEP_BELOW)
 
 
 def _of_poor(classes: DataFrame, base: DataFrame, percent: int, width: int) -> DataFrame:

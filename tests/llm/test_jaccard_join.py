@@ -108,3 +108,14 @@ def test_shingles():
     tokens, counts = shingle_sets(["a b c d e f", "A b  c d e f ", "a b c d e", "a b", "", None, "x " * 100])
     assert counts.tolist() == [2, 2, 1, 1, 0, 0, 1]
     assert tokens[:2].tolist() == tokens[2:4].tolist() and tokens[4] in tokens[:2]
+
+
+def test_parities_never_differ_more_than_the_sets():
+    draw = np.random.default_rng(6)
+    for n in (1, 5, 40, 300, 5000):
+        x = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
+        for drop, more in ((0, 0), (n // 4, 0), (0, n // 3), (n // 5, n // 5), (n, n)):
+            y = np.sort(np.concatenate((x[drop:], draw.integers(0, 2**63, more).astype(np.uint64))))
+            a, b = J.parities(np.concatenate((x, y)), np.array([len(x), len(y)])).view(np.uint64)
+            assert a.shape == (J.PARITY_WORDS,)
+            assert sum(int(w).bit_count() for w in a ^ b) <= len(np.setxor1d(x, y))
