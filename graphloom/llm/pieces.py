@@ -3,12 +3,12 @@
 The vocabulary is that of a public BPE model with byte fallback. A text gets a blank in front, blanks become U+2581,
 and pieces are merged from single characters: of all neighbours whose join is a piece, the best-scored pair (leftmost
 on ties) is merged next, until no pair is left. With dropout, a candidate merge is skipped for good if a keyed hash of
-(seed, variant, word, place of the pair) falls below the rate. The words of a document take VARIANTS variants in turn,
-from a keyed hash of the document id on, so equal words are cut in several ways while results are reproducible and
-frequent words are looked up. A rate of 0 gives the model's usual encoding.
+(seed, draw, word, place of the pair) falls below the rate. Each occurrence of a word has its own draw: numbers of DRAWS
+in turn, from a keyed hash of the document id on. So neither equal words nor equal texts under other ids are cut alike,
+and results are reproducible. A rate of 0 gives the model's usual encoding, which is looked up.
 
 No piece of such a model holds a blank behind another character or a line feed, so words (blanks and what follows, and
-line feeds) are encoded independently, whole batches of distinct words at a time with NumPy.
+line feeds) are encoded independently, whole batches of words at a time with NumPy.
 
 Defined results: a null text gives null ids and null text back; the empty text gives no ids; a U+2581 in a text is
 written as its bytes, so that it doesn't come back as a blank; characters outside the vocabulary are bytes too; repeated
@@ -31,9 +31,10 @@ from pyspark.sql import types as T
 from graphloom.llm.shingles import U, mix, stream
 
 BLANK = "▁"
-VARIANTS = 4
-#: Words of a worker's cache, and texts that are cut together.
-CACHE_WORDS, TOGETHER = 400_000, 256
+#: So many that the draws of two documents don't meet.
+DRAWS = 1 << 62
+#: Words of a worker's cache, texts that are cut together, and words that are merged together.
+CACHE_WORDS, TOGETHER, CHUNK = 400_000, 256, 20_000
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
 _NEVER = np.iinfo(np.int32).max
 
@@ -105,8 +106,14 @@ class Vocabulary:
             open_, at = open_[go], (at[go] + 1) & (len(self.keys) - 1)
         return out
 
-    def encode_words(self, words: list[str], variants: np.ndarray, rate: float, seed: int) -> list[bytes]:
+    def encode_words(self, words: list[str], draws: np.ndarray, rate: float, seed: int) -> list[bytes]:
         """The ids of each word, as bytes of int32."""
+        ids, sizes = self.merged(words, draws, rate, seed)
+        flat, ends = ids.tobytes(), np.cumsum(sizes) * 4
+        return [flat[e - 4 * s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+    def merged(self, words: list[str], draws: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in their order, and how many each word has."""
         spelt = "".join(words)
         codes = np.frombuffer(spelt.encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -116,9 +123,9 @@ class Vocabulary:
         word = np.repeat(np.arange(len(words)), lengths)
         start = np.cumsum(lengths) - lengths
         place = np.arange(len(codes)) - np.repeat(start, lengths)
-        # What a word is, for the keyed hash: its letters and its variant.
+        # What a word is, for the keyed hash: its letters and its draw.
         spelling = np.add.reduceat(mix(codes.astype(U) + U(1)) * stream(int(lengths.max()), 4)[place], start)
-        key = mix(spelling + mix(variants.astype(U) + U(seed << 8)))
+        key = mix(spelling + mix(draws.astype(U) + U(seed << 8)))
         end = place + 1
         limit = U(min(2**64 - 1, int(rate * 2.0**64)))
         # Unknown letters take no part in merges, and become bytes at the end.
@@ -174,8 +181,7 @@ class Vocabulary:
             token = np.array([t for s in spread for t in s], np.int32)
         order = np.argsort(word, kind="stable")
         sizes = np.bincount(word, minlength=len(words))
-        flat, ends = token[order].astype(np.int32).tobytes(), np.cumsum(sizes) * 4
-        return [flat[e - 4 * s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        return token[order].astype(np.int32), sizes
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
@@ -188,53 +194,59 @@ def vocabulary(model_file: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts with one vocabulary, rate and seed; keeps the words it has met."""
+    """Encodes texts with one vocabulary, rate and seed; without dropout it keeps the words it has met."""
 
     def __init__(self, model_file: str, rate: float, seed: int) -> None:
         self.vocabulary, self.rate, self.seed = vocabulary(model_file), rate, seed
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(VARIANTS if rate > 0 else 1)]
-        self.literal = self.vocabulary.bytes[list(BLANK.encode())].astype(np.int32).tobytes()
+        # The draws there are: one with all its words if nothing is dropped, else only numbers, as no draw comes twice.
+        self.cache: list[dict[str | None, np.ndarray]] | range = range(DRAWS) if rate > 0 else [{}]
+        self.literal = self.vocabulary.bytes[list(BLANK.encode())].astype(np.int32)
 
     def _first(self, doc_id: object) -> int:
-        """The variant of a document's first word."""
+        """The draw of a document's first word."""
         key = hashlib.blake2b(f"{self.seed}/{doc_id}".encode(), digest_size=8).digest()
         return int.from_bytes(key, "little") % len(self.cache)
 
     def encode(self, doc_ids: list, texts: list[str | None]) -> list[np.ndarray | None]:
-        if sum(map(len, self.cache)) > CACHE_WORDS:
-            for c in self.cache:
-                c.clear()
-        step = len(self.cache)
-        cut: list[tuple[list[str | None], int] | None] = []
-        missing: list[set[str | None]] = [set() for _ in self.cache]
-        for doc_id, text in zip(doc_ids, texts, strict=True):
-            if text is None:
-                cut.append(None)
-                continue
-            words = self._with_literals(text) if BLANK in text else _WORDS.findall(BLANK + text.replace(" ", BLANK)) if text else []
-            first = self._first(doc_id)
-            for k in range(step):
-                v = (first + k) % step
-                missing[v].update(set(words[k::step]).difference(self.cache[v]))
-            cut.append((words, first))
-        for v, words in enumerate(missing):
-            some = list(words - {None})
-            for at in range(0, len(some), 20_000):
-                part = some[at : at + 20_000]
-                self.cache[v].update(zip(part, self.vocabulary.encode_words(part, np.full(len(part), v), self.rate, self.seed), strict=True))
-        for c in self.cache:
-            c[None] = self.literal
-        out: list[np.ndarray | None] = []
-        for one in cut:
-            if one is None:
-                out.append(None)
-                continue
-            words, first = one
-            ids = [b""] * len(words)
-            for k in range(step):
-                ids[k::step] = map(self.cache[(first + k) % step].__getitem__, words[k::step])
-            out.append(np.frombuffer(b"".join(ids), np.int32))
-        return out
+        cut = [self._words(t) if t else [] for t in texts]
+        words = [w for ws in cut for w in ws]
+        ids, sizes = self._drawn(doc_ids, cut, words) if self.rate > 0 else self._looked_up(words)
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, cut)])].tolist()
+        return [None if t is None else ids[a:b] for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
+
+    def _drawn(self, doc_ids: list, cut: list[list[str | None]], words: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words and how many each has, with a draw of its own for each."""
+        draws = np.concatenate([np.zeros(0, U), *((np.arange(len(ws), dtype=U) + U(self._first(d))) % U(DRAWS) for d, ws in zip(doc_ids, cut, strict=True))])
+        if None in words:
+            literal = np.array([w is None for w in words])
+            ids, sizes = self._merged([w for w in words if w is not None], draws[~literal])
+            all_sizes = np.full(len(words), len(self.literal))
+            all_sizes[~literal] = sizes
+            of_literal = np.repeat(literal, all_sizes)
+            out = np.empty(len(of_literal), np.int32)
+            out[~of_literal], out[of_literal] = ids, np.tile(self.literal, int(literal.sum()))
+            return out, all_sizes
+        return self._merged(words, draws)
+
+    def _merged(self, words: list[str], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.vocabulary.merged(words[at : at + CHUNK], draws[at : at + CHUNK], self.rate, self.seed) for at in range(0, len(words), CHUNK)]
+        return np.concatenate([np.zeros(0, np.int32), *(p[0] for p in parts)]), np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+
+    def _looked_up(self, words: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The same without dropout, where equal words have equal ids."""
+        known = self.cache[0]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        known[None] = self.literal
+        some = list(set(words).difference(known))
+        if some:
+            ids, sizes = self._merged(some, np.zeros(len(some), U))
+            known.update(zip(some, np.split(ids, np.cumsum(sizes)[:-1]), strict=True))
+        found = [known[w] for w in words]
+        return np.concatenate([np.zeros(0, np.int32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _words(self, text: str) -> list[str | None]:
+        return self._with_literals(text) if BLANK in text else _WORDS.findall(BLANK + text.replace(" ", BLANK))
 
     @staticmethod
     def _with_literals(text: str) -> list[str | None]:

@@ -48,6 +48,22 @@ def test_dropout_varies_and_repeats():
     assert len(whole) == len("internationalization") + 1
 
 
+def test_each_occurrence_has_its_own_draw():
+    copies = P.Encoder(PIECES_FILE, 0.2, 1).encode(list(range(500)), ["internationalization of the words"] * 500)
+    assert len({c.tobytes() for c in copies}) > 100
+    one = P.Encoder(PIECES_FILE, 0.2, 1).encode([1], ["\n".join(["internationalization"] * 500)])[0].tolist()
+    line = P.Encoder(PIECES_FILE, 0.0, 1).encode([1], ["\n"])[0].tolist()[-1]
+    cuts = " ".join(map(str, one)).split(f" {line} ")
+    assert len(cuts) == 500 and len(set(cuts)) > 100
+
+
+def test_dropout_of_a_pair_has_its_rate():
+    v = P.vocabulary(PIECES_FILE)
+    whole = v.encode_words([P.BLANK + "a"], P.np.zeros(1, int), 0.0, 1)[0]
+    got = P.Encoder(PIECES_FILE, 0.25, 1).encode(list(range(8000)), ["a"] * 8000)
+    assert len(whole) == 4 and abs(sum(len(g) == 2 for g in got) / 8000 - 0.25) < 0.02
+
+
 def test_rows(docs):
     rows = [(1, None), (2, ""), (3, "x ▁ y▁"), (3, "x ▁ y▁"), (4, "long " * 40_000), (None, "z")]
     out = P.encode(docs(rows), PIECES_FILE, keep=["doc_id", "keep_id"])
