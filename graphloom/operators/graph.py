@@ -139,20 +139,29 @@ def _reached(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): nodes that reach each other, by forward and backward search from a pivot of each part."""
+    """(id, component): nodes that reach each other, by forward and backward search from a pivot of each part.
+
+    Nodes that nothing of their part leads to, or that lead to nothing of it, are components by themselves.
+    """
     left = cut(nodes.select("id").unionByName(edges.select(F.col("src").alias("id"))).unionByName(edges.select(F.col("dst").alias("id"))).distinct().withColumn("part", F.lit("0")), "parts")
     out = None
     while not _empty(left):
         ends = edges.select("src", "dst").where("src <> dst").distinct()
         own = left.select(F.col("id").alias("src"), F.col("part").alias("p1"))
         inner = cut(ends.join(own, "src").join(left.select(F.col("id").alias("dst"), F.col("part").alias("p2")), "dst").where("p1 = p2").select("src", "dst"), "inner")
-        pivots = left.groupBy("part").agg(F.min("id").alias("id")).select("id", F.col("id").alias("colour"))
+        core = left.join(inner.select(F.col("src").alias("id")).distinct(), "id", "left_semi").join(inner.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+        core = cut(core, "core")
+        alone = left.join(core, "id", "left_anti").select("id", F.col("id").alias("component"))
+        out = alone if out is None else out.unionByName(alone)
+        if _empty(core):
+            break
+        pivots = core.groupBy("part").agg(F.min("id").alias("id")).select("id", F.col("id").alias("colour"))
         forward = _reached(inner, pivots)
         backward = _reached(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivots)
-        marks = left.join(forward.select("id", F.col("colour").alias("f")), "id", "left").join(backward.select("id", F.col("colour").alias("b")), "id", "left")
+        marks = core.join(forward.select("id", F.col("colour").alias("f")), "id", "left").join(backward.select("id", F.col("colour").alias("b")), "id", "left")
         marks = cut(marks, "marks")
         done = marks.where("f is not null and b is not null").select("id", F.col("f").alias("component"))
-        out = done if out is None else out.unionByName(done)
+        out = out.unionByName(done)
         rest = marks.where("f is null or b is null")
         left = cut(rest.select("id", F.concat_ws("/", "part", F.when(F.col("f").isNotNull(), "f").when(F.col("b").isNotNull(), "b").otherwise("r")).alias("part")), "parts")
     return out

@@ -484,8 +484,8 @@ def communities(spark, sf):
 
 @query()
 def strong_components(spark, sf):
-    links = cut(views.link_to(spark, sf).where("crc32(src || dst) % 16 = 0").select("src", "dst"), "links")
-    return G.strong_components(links.select(F.col("src").alias("id")).distinct(), links)
+    links = cut(views.link_to(spark, sf).select("src", "dst"), "links")
+    return G.strong_components(views.nodes(spark, sf).where("type = 'person'"), links)
 
 
 @query()

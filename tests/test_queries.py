@@ -50,3 +50,26 @@ def test_queries_without_sql_run(spark):
     for name in sorted(set(queries()) - set(oracle_sql()) - {"strong_components", "small_world", "betweenness", "closeness", "path_lengths"}):
         assert queries()[name](spark, SF).count() >= 1, name
         release(spark)
+
+
+def reached(out, start):
+    seen, todo = {start}, [start]
+    for v in todo:
+        for w in out.get(v, ()):
+            if w not in seen:
+                seen.add(w)
+                todo.append(w)
+    return seen
+
+
+def test_strong_components_of_all_links(spark, duck):
+    users = [r[0] for r in duck.execute("select user_id from events order by ts, event_id").fetchall()]
+    out = {}
+    for a, b in zip(users, users[1:]):
+        if a != b:
+            out.setdefault(f"P{a}", set()).add(f"P{b}")
+    ids = {f"P{r[0]}" for r in duck.execute("select c_custkey from customer").fetchall()} | {f"P{u}" for u in users}
+    to = {v: reached(out, v) for v in ids}
+    got = {r["id"]: r["component"] for r in queries()["strong_components"](spark, SF).collect()}
+    assert got == {v: min(w for w in to[v] if v in to[w]) for v in ids}
+    release(spark)
