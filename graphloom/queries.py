@@ -443,8 +443,8 @@ def degree_centrality_top10(spark, sf):
 
 
 def _largest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The largest component of the sparse graph: its nodes, and its edges in both directions."""
-    links = cut(D.undirected(views.sparse_edges(spark, sf)), "sparse")
+    """The largest component of the graph of persons and universities: its nodes, and its edges in both directions."""
+    links = cut(D.undirected(views.alumni_edges(spark, sf)), "alumni")
     nodes = cut(G.largest_component(G.components(links.select(F.col("src").alias("id")).distinct(), links)), "largest")
     return nodes, cut(D.induced(links, nodes), "inside")
 

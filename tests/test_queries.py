@@ -73,3 +73,30 @@ def test_strong_components_of_all_links(spark, duck):
     got = {r["id"]: r["component"] for r in queries()["strong_components"](spark, SF).collect()}
     assert got == {v: min(w for w in to[v] if v in to[w]) for v in ids}
     release(spark)
+
+
+def test_all_pairs_queries_take_the_whole_alumni_graph(spark, duck):
+    near = {}
+    for a, b in duck.execute("select distinct 'P' || o_custkey, 'U' || l_suppkey from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1 and l_returnflag = 'R'").fetchall():
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    big = max((reached(near, v) for v in near), key=len)
+
+    def hops(start):
+        dist, todo = {start: 0}, [start]
+        for v in todo:
+            for w in near[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    todo.append(w)
+        return dist
+
+    dist = {v: hops(v) for v in big}
+    got = {r["id"]: r["closeness"] for r in queries()["closeness"](spark, SF).collect()}
+    assert got.keys() == big and all(abs(got[v] - (len(big) - 1) / sum(dist[v].values())) < 1e-8 for v in big)
+    row = queries()["path_lengths"](spark, SF).first()
+    every = [d for v in big for d in dist[v].values() if d]
+    assert row["diameter"] == max(every) and abs(row["mean_length"] - sum(every) / len(every)) < 1e-9
+    for name in ("betweenness", "communities"):
+        assert {r["id"] for r in queries()[name](spark, SF).collect()} == big, name
+    release(spark)
