@@ -396,7 +396,7 @@ def sssp_cost(spark, sf):
     start = edges.agg(F.min("src").alias("s")).first()["s"]
     end = F.substring(F.least("src", "dst"), 2, 20).cast("int")
     weighted = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), (1.0 / (2 + end % 4)).alias("weight"))
-    return G.path_costs(weighted, F.lit(start), 14).select("id", F.round("cost", 9).alias("cost"))
+    return G.path_costs(weighted, F.lit(start)).select("id", F.round("cost", 9).alias("cost"))
 
 
 _UNDIRECTED = "pairs AS (SELECT src, dst FROM link_to UNION SELECT dst, src FROM link_to)"
