@@ -4,8 +4,8 @@ A document's most frequent n-grams (one to three letters, words padded by a blan
 ranked n-grams of each language: the out-of-place distance adds up how far each n-gram is from its place in the
 profile, a missing one counting as PROFILE_SIZE. The language with the least distance wins.
 
-Letters up to U+02FF stand for themselves, the others share 256 classes by code point, so that an n-gram is an integer
-and whole documents are counted by sorting; everything that isn't a letter is a blank.
+Every letter stands for itself, with 20 bits of a 64-bit n-gram (no letter lies beyond U+FFFFF), so that whole documents
+are counted by sorting integers; everything that isn't a letter is a blank.
 
 Defined results: `und` with score 0 for a null text or one without letters; equal counts are ranked by n-gram, equal
 distances go to the language that sorts first; a training table without labelled text gives `und` for all with score 0;
@@ -45,21 +45,36 @@ def _letter_classes() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
+_LETTERS: list[np.ndarray] = []
+
+
+def letter_grams_of(text: str) -> np.ndarray:
+    """All n-grams of a text, unsorted, as integers of 64 bits."""
+    if not _LETTERS:
+        _LETTERS.append(np.array([cp if chr(cp).isalpha() else 0 for cp in range(0x110000)], np.int64))
+    return _grams(_LETTERS[0][np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)], 20)
+
+
 def grams_of(text: str) -> np.ndarray:
-    """All n-grams of a text, unsorted, as integers."""
+    """The same in 32 bits, where letters from U+0300 on share 256 classes; learn and predict don't use it."""
     if not _TABLE:
         _TABLE.append(_letter_classes())
     codes = _TABLE[0][np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
-    codes = np.concatenate(([0], codes, [0])).astype(np.uint32)
+    return _grams(codes.astype(np.uint32), 10)
+
+
+def _grams(codes: np.ndarray, bits: int) -> np.ndarray:
+    kind = codes.dtype.type
+    codes = np.concatenate(([0], codes, [0])).astype(kind)
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
     codes = codes[keep]
     if len(codes) < 3:
-        return np.zeros(0, np.uint32)
-    two = codes[:-1] << np.uint32(10) | codes[1:]
-    three = codes[:-2] << np.uint32(20) | two[1:]
+        return np.zeros(0, kind)
+    two = codes[:-1] << kind(bits) | codes[1:]
+    three = codes[:-2] << kind(2 * bits) | two[1:]
     one = codes[codes != 0]
-    return np.concatenate((one | np.uint32(2 << 30), two | np.uint32(1 << 30), three))
+    return np.concatenate((one | kind(2 << 3 * bits), two | kind(1 << 3 * bits), three))
 
 
 def counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,14 +107,14 @@ class Profiles:
     @classmethod
     def of(cls, tops: dict[str, list[int]]) -> Profiles:
         languages = sorted(tops)
-        grams = np.array(sorted({g for top in tops.values() for g in top}), np.uint32)
+        grams = np.array(sorted({g for top in tops.values() for g in top}), np.int64)
         ranks = np.full((len(grams) + 1, len(languages)), PROFILE_SIZE, np.int32)
         for k, name in enumerate(languages):
-            ranks[np.searchsorted(grams, np.array(tops[name], np.uint32)), k] = np.arange(len(tops[name]))
+            ranks[np.searchsorted(grams, np.array(tops[name], np.int64)), k] = np.arange(len(tops[name]))
         return cls(languages, grams, ranks)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        own = ranked(grams_of(text)) if text else ()
+        own = ranked(letter_grams_of(text)) if text else ()
         if not len(own) or not self.languages:
             return UNKNOWN, 0.0
         at = np.searchsorted(self.grams, own)
@@ -125,7 +140,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         for batch in batches:
             parts: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.setdefault(lang, []).append(grams_of(text))
+                parts.setdefault(lang, []).append(letter_grams_of(text))
             for lang, grams in parts.items():
                 distinct, counts = counted(np.concatenate(grams)) if sum(map(len, grams)) else (np.zeros(0), np.zeros(0))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct.astype(np.int64)), pa.array(counts.astype(np.int64))], ["l", "g", "n"])

@@ -33,6 +33,18 @@ def test_ranks_equal_brute_force():
     assert len(lang_id.grams_of("123 !?")) == 0
 
 
+def test_letters_of_scripts_are_apart():
+    draw = random.Random(3)
+    texts = {"ru": " ".join("".join(draw.choices("абвгдежз", k=4)) for _ in range(80))}
+    texts["ar"] = "".join(c if c == " " else chr(ord(c) + 0x200) for c in texts["ru"])
+    profiles = lang_id.Profiles.of({k: lang_id.ranked(lang_id.letter_grams_of(t), 400).tolist() for k, t in texts.items()})
+    assert {k: profiles.predict(t)[0] for k, t in texts.items()} == {"ru": "ru", "ar": "ar"}
+    got = lang_id.letter_grams_of("中 a\U00030000")
+    h, x, e = 0x4E2D, 0x61, 0x30000
+    two, three = [h, h << 20, x, x << 20 | e, e << 20], [h << 20, h << 40 | x, x << 20 | e, x << 40 | e << 20]
+    assert sorted(got.tolist()) == sorted([g | 2 << 60 for g in (h, x, e)] + [g | 1 << 60 for g in two] + three)
+
+
 def test_prediction_and_undecided(spark):
     rows = [(k, (EN if k % 2 else DE) * (1 + k % 5), "en" if k % 2 else "de") for k in range(60)] + [(100, None, "en"), (101, "123", None), (102, "", "de"), (103, "the thing with people", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
