@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.batches import give_back, slices
 from graphloom.llm.common import connected_components, discard, join_skewed, materialise, without
 from graphloom.llm.shingles import U, mix, shingle_sets
 
@@ -38,8 +39,10 @@ from graphloom.llm.shingles import U, mix, shingle_sets
 DEEP_BELOW, DEEP_PARTITIONS = 64, 3
 #: Signatures in a bucket, about; bytes of text that make one signature, about.
 BUCKET_SIGNATURES, BYTES_PER_SIGNATURE = 400_000, 8
-#: Documents whose signatures are packed together.
-PACK_DOCS = 2048
+#: Signatures shuffle in packs of at most so many documents and bytes of text; packs of a bucket are read so many at a time.
+PACK_DOCS, PACK_BYTES, PACKS_READ = 2048, 500_000, 64
+#: Buckets in a partition of the shuffle, and partitions at most: beyond, partitions hold more buckets, in order.
+BUCKETS_TOGETHER, MOST_PARTITIONS = 2, 20_000
 #: Pairs whose tokens are in a Python worker's memory at once.
 VERIFY_PAIRS = 256
 #: Rounds in which sets that share too little are left out.
@@ -163,8 +166,7 @@ def _index(batches: Iterator[pa.RecordBatch], percent: int, width: int, buckets:
         return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * k), t) for c, t in zip(names, types, strict=True)], names)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, PACK_DOCS):
-            part = batch.slice(at, PACK_DOCS)
+        for part in slices(batch, 1, PACK_DOCS, PACK_BYTES):
             tokens, counts = shingle_sets(part.column(1).to_pylist(), width)
             s1, s2 = _digests(tokens, counts)
             # Per kind and partition: segments that aren't empty, and units.
@@ -201,25 +203,36 @@ def _index(batches: Iterator[pa.RecordBatch], percent: int, width: int, buckets:
             for a in range(0, len(first), 64):
                 here = list(zip(first[a : a + 64], last[a : a + 64], strict=True))
                 yield rows(bucket=[int(bucket[x]) for x, _ in here], pack=[pack] * len(here), sigs=[short[x:y].tobytes() for x, y in here], codes=[codes[x:y].tobytes() for x, y in here])
+        give_back()
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(list, pack, place, code, weight) of the signatures that at least two documents share.
 
-    weight: signatures with just these members; code: partition, loss and kind, as _index packs them.
+    Rows come in the order of buckets, so one bucket at a time is in memory. weight: signatures with just these members;
+    code: partition, loss and kind, as _index packs them.
     """
-    sigs, own, packs = [], [], []
+    last, sigs, own, packs = None, [], [], []
     for batch in batches:
-        for pack, short, codes in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for bucket, pack, short, codes in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if bucket != last:
+                yield from _lists_of(sigs, own, packs)
+                last, sigs, own, packs = bucket, [], [], []
             sig = np.zeros((len(short) // 6, 8), np.uint8)
             sig[:, :6] = np.frombuffer(short, np.uint8).reshape(-1, 6)
             sigs.append(sig.view(U)[:, 0])
             own.append(np.frombuffer(codes, np.uint16).astype(np.int64) | len(packs) << 16)
             packs.append(pack)
+    yield from _lists_of(sigs, own, packs)
+    give_back()
+
+
+def _lists_of(sigs: list[np.ndarray], own: list[np.ndarray], packs: list[int]) -> Iterator[pa.RecordBatch]:
+    """The lists of one bucket; sigs and own are emptied."""
     if not sigs:
         return
     sig, who, pack = np.concatenate(sigs), np.concatenate(own), np.array(packs, np.int64)
-    del sigs, own
+    sigs.clear(), own.clear()
     order = np.argsort(sig)
     ordered = sig[order]
     same = ordered[1:] == ordered[:-1]
@@ -260,14 +273,15 @@ def _tokens(batches: Iterator[pa.RecordBatch], width: int, wanted: bytes) -> Ite
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         at = (mix(ids.view(U)) % U(FILTER_BITS)).astype(np.int64)
-        rows = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-        for a in range(0, len(rows), 512):
-            some = rows[a : a + 512]
-            tokens, counts = shingle_sets(batch.column(1).take(pa.array(some)).to_pylist(), width)
+        passed = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+        for part in slices(passed, 1, 512):
+            some = part.column(0)
+            tokens, counts = shingle_sets(part.column(1).to_pylist(), width)
             ends = np.cumsum(counts)
             words = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(parities(tokens, counts).ravel()))
             sets = pa.array([tokens[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(counts), words, sets], ["rep", "n", "bits", "tokens"])
+            yield pa.RecordBatch.from_arrays([some, pa.array(counts), words, sets], ["rep", "n", "bits", "tokens"])
+        give_back()
 
 
 def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -328,10 +342,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ),
         "classes",
     )
-    packed = index.where("bucket >= 0").select("bucket", "pack", "sigs", "codes").repartition(buckets, "bucket")
-    found = packed.drop("bucket").mapInArrow(_lists, "list long, pack long, place int, code int, weight long")
+    parts = min(MOST_PARTITIONS, -(-buckets // BUCKETS_TOGETHER))
+    packed = index.where("bucket >= 0").select("bucket", "pack", "sigs", "codes").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = packed.mapInArrow(_lists, "list long, pack long, place int, code int, weight long")
     kind, turn, loss = F.shiftright("code", 3), F.col("code").bitwiseAND(3), F.shiftright("code", 2).bitwiseAND(1) + 1
-    shared = materialise(found.select("list", "pack", "place", kind.alias("kind"), turn.alias("turn"), loss.alias("loss"), "weight"), "shared")
+    with _batches_of(docs.sparkSession, PACKS_READ):
+        shared = materialise(found.select("list", "pack", "place", kind.alias("kind"), turn.alias("turn"), loss.alias("loss"), "weight"), "shared")
     discard(index)
     # Documents that are indexed stand for their class; copies in several packs become one member.
     indexed = rows.where("units[0] > 0 or units[2] > 0 or units[4] > 0").select("pack", "place", "s1", "s2")
