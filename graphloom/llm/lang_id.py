@@ -22,59 +22,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.batches import give_back, slices
+
 #: N-grams in a language's profile; of a document so many are compared at most.
 PROFILE_SIZE = 400
 DOC_GRAMS = 300
 #: Documents learned from, about so many for each language, chosen by hash over all that carry its label.
 TRAIN_DOCS = 4000
 UNKNOWN = "und"
-_PLAIN, _CLASSES = 0x300, 0x100
 #: How sharply a difference of normalised distances turns into a score.
 _SHARPNESS = 40.0
 
 
-def _letter_classes() -> np.ndarray:
-    """Class of every code point: 0 for what isn't a letter."""
-    table = np.zeros(0x110000, np.uint16)
-    for cp in range(0x110000):
-        if chr(cp).isalpha():
-            table[cp] = cp if cp < _PLAIN else _PLAIN + cp % _CLASSES
-    return table
-
-
-_TABLE: list[np.ndarray] = []
-
-
 _LETTERS: list[np.ndarray] = []
 
 
 def letter_grams_of(text: str) -> np.ndarray:
     """All n-grams of a text, unsorted, as integers of 64 bits."""
     if not _LETTERS:
-        _LETTERS.append(np.array([cp if chr(cp).isalpha() else 0 for cp in range(0x110000)], np.int64))
-    return _grams(_LETTERS[0][np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)], 20)
-
-
-def grams_of(text: str) -> np.ndarray:
-    """The same in 32 bits, where letters from U+0300 on share 256 classes; learn and predict don't use it."""
-    if not _TABLE:
-        _TABLE.append(_letter_classes())
-    codes = _TABLE[0][np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
-    return _grams(codes.astype(np.uint32), 10)
-
-
-def _grams(codes: np.ndarray, bits: int) -> np.ndarray:
-    kind = codes.dtype.type
-    codes = np.concatenate(([0], codes, [0])).astype(kind)
+        _LETTERS.append(np.fromiter((cp if chr(cp).isalpha() else 0 for cp in range(0x110000)), np.int32, 0x110000))
+    codes = _LETTERS[0][np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)].astype(np.int64)
+    codes = np.concatenate(([0], codes, [0]))
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
     codes = codes[keep]
     if len(codes) < 3:
-        return np.zeros(0, kind)
-    two = codes[:-1] << kind(bits) | codes[1:]
-    three = codes[:-2] << kind(2 * bits) | two[1:]
+        return np.zeros(0, np.int64)
+    two = codes[:-1] << 20 | codes[1:]
+    three = codes[:-2] << 40 | two[1:]
     one = codes[codes != 0]
-    return np.concatenate((one | kind(2 << 3 * bits), two | kind(1 << 3 * bits), three))
+    return np.concatenate((one | 2 << 60, two | 1 << 60, three))
 
 
 def counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +114,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     chosen = labelled.where(F.pmod(F.xxhash64("i", F.lit(5)), F.lit(steps)) < share[F.col("l")]).where("t is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             parts: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts.setdefault(lang, []).append(letter_grams_of(text))
@@ -162,6 +139,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [profiles.predict(text.as_py()) for text in batch.column(width)]
+            give_back()
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:width], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 [*batch.schema.names[:width], "lang_pred", "score"],
