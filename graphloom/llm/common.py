@@ -105,13 +105,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 #: bitmap_construct_agg makes bitmaps of 4096 bytes; one is one block of a Bloom filter.
 BLOCK_BITS = 32_768
 BITS_PER_ROW = 16
-#: Filters are broadcast, so they never have more blocks than this (64 MB); beyond, more rows are hit in vain.
-MAX_BLOCKS = 16_384
+#: Filters are broadcast; a filter that isn't made in turns has no more blocks (128 MB), beyond more rows are hit in vain.
+MAX_BLOCKS = 32_768
 
 
-def bloom_size(rows: int) -> int:
-    """Blocks of a filter of so many rows."""
-    return max(1, min(MAX_BLOCKS, math.ceil(rows * BITS_PER_ROW / BLOCK_BITS)))
+def bloom_size(rows: int, most: int | None = MAX_BLOCKS) -> int:
+    """Blocks of a filter of so many rows, at most `most`."""
+    blocks = max(1, math.ceil(rows * BITS_PER_ROW / BLOCK_BITS))
+    return blocks if most is None else min(most, blocks)
 
 
 def bloom_probes(key: Column, blocks: int) -> tuple[Column, Column, Column]:

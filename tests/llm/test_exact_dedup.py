@@ -32,6 +32,16 @@ def test_hot_group_and_unique_rows(spark):
     assert {(r["keep_id"], r["group_size"]) for r in rows if r["doc_id"] % 3 == 0} == {(2997, 1000)}
 
 
+def test_filters_in_turns(docs):
+    """More rows than a filter takes: the same groups and rows, from several filters."""
+    key = lambda r: (str(r["doc_id"]), r["text_sha256"], r["keep_id"], r["group_size"])
+    df = docs(ROWS + [(k, f"t{k % 700}") for k in range(100, 1100)])
+    one, many = (exact_dedup.duplicate_groups(df, filter_rows=n).collect() for n in (1 << 20, 100))
+    assert sorted(map(key, one)) == sorted(map(key, many))
+    few, all_ = (exact_dedup.drop_duplicates(df, filter_rows=n).collect() for n in (100, 1 << 20))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in few) == sorted((str(r["doc_id"]), r["text"]) for r in all_)
+
+
 def test_empty(docs):
     assert exact_dedup.duplicate_groups(docs([])).collect() == []
     assert exact_dedup.drop_duplicates(docs([])).collect() == []
