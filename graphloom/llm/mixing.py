@@ -48,12 +48,6 @@ def cycled_weights(sources: list[str | None], cycle: tuple[float, ...]) -> dict[
     return {s: cycle[k % len(cycle)] for k, s in enumerate(ordered)}
 
 
-def pattern_of(sources: list[str | None]) -> str:
-    """The pattern, as mix() names it, of documents that belong to just these sources."""
-    ordered = [None] * (None in sources) + sorted({s for s in sources if s is not None}, key=lambda s: s.encode())
-    return json.dumps(ordered, ensure_ascii=False, separators=(",", ":"))
-
-
 def min_cost_flow(capacity: dict[str, int], members: dict[str, list[str | None]], quota: dict[str | None, int], max_passes: int) -> dict[str, int]:
     """Tokens each pattern gives, so that quotas fill as far as they can at least cost; pass r costs r - 1.
 
@@ -102,21 +96,26 @@ def min_cost_flow(capacity: dict[str, int], members: dict[str, list[str | None]]
     return used
 
 
+def _summed(sizes: DataFrame) -> DataFrame:
+    """(pattern, bucket, n) with upto, the sum of n up to the bucket: first within runs of buckets, then over the runs,
+    so that the buckets of one pattern are spread over tasks."""
+    runs = sizes.withColumn("run", F.shiftright("bucket", 8))
+    before = Window.partitionBy("pattern").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.groupBy("pattern", "run").agg(F.sum("n").alias("own")).select("pattern", "run", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("pattern", "run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    return runs.withColumn("upto", F.sum("n").over(inside)).join(offsets, ["pattern", "run"]).select("pattern", "bucket", "n", (F.col("upto") + F.col("offset")).alias("upto"))
+
+
 def _threshold(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(pattern, cut): the hash value below which a pattern's documents add up to its `rest` as nearly as they can."""
 
-    def cut(sizes: DataFrame, rest: str) -> DataFrame:
-        upto = F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-        return sizes.join(F.broadcast(wanted.select("pattern", rest)), "pattern").withColumn("upto", upto)
-
     high = docs.groupBy("pattern", F.shiftright("h", 16).alias("bucket")).agg(F.sum("size").alias("n"))
     # The first bucket that reaches the rest, and what is below it.
-    first = cut(high, "rest").where(F.col("upto") >= F.col("rest")).groupBy("pattern").agg(F.min_by(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("left")), "bucket").alias("f"))
+    first = _summed(high).join(F.broadcast(wanted.select("pattern", "rest")), "pattern").where(F.col("upto") >= F.col("rest")).groupBy("pattern").agg(F.min_by(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("left")), "bucket").alias("f"))
     first = materialise(first.select("pattern", F.col("f.bucket").alias("top"), F.col("f.left").alias("left")), "cuts")
     inside = docs.join(F.broadcast(first.select("pattern", "top")), "pattern").where(F.shiftright("h", 16) == F.col("top"))
     low = inside.groupBy("pattern", F.col("h").bitwiseAND(_HALF - 1).alias("bucket")).agg(F.sum("size").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    steps = low.join(F.broadcast(first), "pattern").withColumn("upto", upto)
+    steps = _summed(low).join(F.broadcast(first), "pattern")
     # After a bucket the sum is `upto`, after none it is 0: the nearest to `left` is the cut.
     best = steps.groupBy("pattern", "top", "left").agg(F.min_by(F.struct((F.col("bucket") + 1).alias("b"), "upto"), F.struct(F.abs(F.col("upto") - F.col("left")), "bucket")).alias("x"))
     after = F.when(F.abs(F.col("x.upto") - F.col("left")) < F.col("left"), F.col("x.b")).otherwise(0)
@@ -167,15 +166,15 @@ def mix(
     sources_col: str = "sources",
     size_col: str = "size",
 ) -> tuple[DataFrame, dict[str | None, int], dict[str | None, float]]:
-    """(id, pattern, size, passes, taken) for each row, the sources' sizes and their targets.
+    """(id, sources, pattern, size, passes, taken) for each row, the sources' sizes and their targets.
 
     sources_col is an array of source names (null is a name); a document counts in full in the size of each.
     """
     keyed = _keyed(docs.select(F.col(id_col).alias("id"), F.col(sources_col).alias("s"), F.col(size_col).alias("n")), seed, "id", F.col("s"), F.col("n"))
-    narrow = materialise(keyed.select("id", F.col("__pattern").alias("pattern"), F.col("__size").alias("size"), F.col("__h").alias("h")), "mix")
+    narrow = materialise(keyed.select("id", F.col("s").alias("sources"), F.col("__pattern").alias("pattern"), F.col("__size").alias("size"), F.col("__h").alias("h")), "mix")
     plan, sizes, targets = _planned(narrow, weights, total_share, max_passes)
     rows = narrow.join(F.broadcast(plan), "pattern", "left").withColumn("passes", _passes("whole", "cut", "h"))
-    return rows.select(F.col("id").alias(id_col), "pattern", "size", "passes", (F.col("passes") * F.col("size")).alias("taken")), sizes, targets
+    return rows.select(F.col("id").alias(id_col), "sources", "pattern", "size", "passes", (F.col("passes") * F.col("size")).alias("taken")), sizes, targets
 
 
 def mixed(

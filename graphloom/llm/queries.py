@@ -96,10 +96,8 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.array("source").alias("sources"), word_count(text_of("text")).alias("size"))
     rows, sizes, targets = mixing.mix(docs, MIX_WEIGHTS, MIX_SHARE, MIX_PASSES)
-    known = spark.createDataFrame(
-        [(mixing.pattern_of([s]), sizes[s], targets[s]) for s in sizes] or [("", 0, 0.0)], "pattern string, source_size long, target double"
-    )
-    return rows.join(F.broadcast(known), "pattern").select("doc_id", "size", "source_size", "target", "taken")
+    known = spark.createDataFrame([(s, sizes[s], targets[s]) for s in sizes], "source string, source_size long, target double")
+    return rows.join(F.broadcast(known), rows["sources"][0].eqNullSafe(known["source"]), "left").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,8 +1,7 @@
-import json
-
 from pyspark.sql import functions as F
 
 from graphloom.llm import mixing as M
+from graphloom.llm.queries import queries
 
 
 def frame(spark, rows):
@@ -57,8 +56,33 @@ def test_edge_cases(spark):
     assert got[2][2] == got[3][2] == 0 and got[4] == got[5]
 
 
-def test_patterns_are_named_as_in_the_plan(spark):
-    df = frame(spark, [(1, ["b", "é", "b"], 1), (2, [None, 'q"/'], 1)])
-    got = {r["doc_id"]: r["pattern"] for r in M.mix(df, (1,))[0].collect()}
-    assert got == {1: M.pattern_of(["é", "b"]), 2: M.pattern_of(['q"/', None])}
-    assert json.loads(got[2]) == [None, 'q"/']
+def test_query_keeps_its_contract(spark, tmp_path):
+    """Every document once, sizes and targets as computed in plain Python, whatever characters sources hold."""
+    sources = ["s\x1b", "s\x1f", 'q"/', "\\", "é", None, "s\x1b\u2028"]
+    rows = [(k, " ".join(["w"] * (k % 37)) if k % 11 else None, sources[k % 7 if k % 3 else 0]) for k in range(900)]
+    rows.append(rows[5])
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()["op10_mixing"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+    ordered = [*sorted((s for s in sizes if s is not None), key=str.encode), None]
+    left, targets, open_ = 1.5 * sum(sizes.values()), {}, {s: (5, 2, 1)[k % 3] for k, s in enumerate(ordered)}
+    while over := [s for s in open_ if left * open_[s] / sum(open_.values()) > 2 * sizes[s]]:
+        targets |= {s: 2 * sizes[s] for s in over}
+        left -= sum(2 * sizes[s] for s in over)
+        open_ = {s: w for s, w in open_.items() if s not in over}
+    targets |= {s: left * w / sum(open_.values()) for s, w in open_.items()}
+    by_id = {k: s for k, _, s in rows}
+    taken = dict.fromkeys(sizes, 0)
+    for r in got:
+        source = by_id[r["doc_id"]]
+        assert r["source_size"] == sizes[source] and abs(r["target"] - targets[source]) < 1e-6 and r["taken"] <= 2 * r["size"]
+        taken[source] += r["taken"]
+    assert all(abs(taken[s] - targets[s]) <= 40 for s in sizes)
+
+
+def test_query_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries()["op10_mixing"](spark, str(tmp_path)).collect() == []
