@@ -9,7 +9,8 @@ are counted by sorting integers; everything that isn't a letter is a blank.
 
 Defined results: `und` with score 0 for a null text or one without letters; equal counts are ranked by n-gram, equal
 distances go to the language that sorts first; a training table without labelled text gives `und` for all with score 0;
-repeated rows are predicted alike; further columns pass through untouched (predict adds lang_pred and score).
+repeated rows are predicted alike; further columns pass through untouched (predict adds lang_pred and score, in the place of
+columns of these names).
 """
 
 from __future__ import annotations
@@ -131,8 +132,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
 
 def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns `keep`) with lang_pred and score."""
-    kept = docs.columns if keep is None else keep
+    """docs (or its columns `keep`) with lang_pred and score; columns of these names give way."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema.add("lang_pred", "string").add("score", "double")
     width = len(kept)
 
@@ -148,7 +149,8 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: l
     return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def filter_known(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """docs without those whose language can't be told (no letters, or no text)."""
-    flat = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(text_col).alias("__t"))
-    return predict(flat, profiles, "__t", ["__row"]).where(F.col("lang_pred") != UNKNOWN).select("__row.*")
+def identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with lang_col as predicted, without those whose language can't be told (no letters, or no text)."""
+    flat = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text_col}`").alias("__t"))
+    found = predict(flat, profiles, "__t", ["__row"]).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*(F.col("lang_pred").alias(c) if c == lang_col else F.col(f"__row.`{c}`") for c in docs.columns))

@@ -52,7 +52,7 @@ def test_prediction_and_undecided(spark):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in lang_id.predict(docs, model, keep=["doc_id"]).collect()}
     assert all(got[k][0] == ("en" if k % 2 else "de") and 0.5 < got[k][1] <= 1 for k in range(60))
     assert got[100] == got[101] == got[102] == ("und", 0.0) and got[103][0] == "en"
-    assert sorted(r["doc_id"] for r in lang_id.filter_known(docs, model).collect()) == [*range(60), 103]
+    assert sorted(r["doc_id"] for r in lang_id.identified(docs, model).collect()) == [*range(60), 103]
     none = lang_id.learn(docs.where("false"))
     assert {r["lang_pred"] for r in lang_id.predict(docs, none, keep=["doc_id"]).collect()} == {"und"}
 
