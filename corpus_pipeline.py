@@ -16,27 +16,47 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; profiles are learned from those outside fold 0."""
-    return lang_id.filter_known(docs, lang_id.learn(docs.where(fold_of(F.col("doc_id")) != 0)))
+    """Documents with `lang` as identified, without those whose language can't be told; profiles are of those outside fold 0.
+
+    Null and empty texts and those without a letter go, and all go where no document has a label. Ties of languages go to
+    the one that sorts first; repeated rows stay; an empty table gives an empty one; further columns stay as they are.
+    """
+    return lang_id.identified(docs, lang_id.learn(docs.where(F.coalesce(fold_of(F.col("doc_id")), F.lit(1)) != 0)))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
+    """Of equal texts, the document with the largest id; a null id is the least.
+
+    Null texts count as empty. Of rows that repeat id and text one stays, of several with other further columns the one
+    whose columns have the largest hash; an empty table gives an empty one; further columns stay as they are.
+    """
     return exact_dedup.drop_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by similar shingles, the document with the smallest id."""
+    """Of each group linked by similar shingles, the document with the smallest id.
+
+    Texts without words are linked with nothing and stay, as do rows with a null id; rows that repeat an id stay or go
+    together; an empty table gives an empty one; further columns stay as they are.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not, once or twice."""
+    """Documents as often as the mix takes them: not, once or twice.
+
+    Sizes are words, 0 for null and empty texts; a null source is one of its own, last in order; rows that repeat an id
+    are taken alike; an empty table gives an empty one; further columns stay as they are.
+    """
     return mixing.mixed(docs, F.array("source"), word_count(text_of("text")), MIX_WEIGHTS, MIX_SHARE, MIX_PASSES)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and lang with token ids."""
+    """doc_id, source and lang with token ids.
+
+    Null texts have null ids, empty ones none; documents that the mix repeats have the same ids each time; an empty table
+    gives an empty one; further columns go.
+    """
     return pieces.encode(docs, PIECES_FILE, keep=["doc_id", "source", "lang"])
 
 
