@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.batches import slices
 from graphloom.llm.shingles import U, mix, stream
 
 BLANK = "▁"
@@ -37,6 +38,7 @@ DRAWS = 1 << 62
 CACHE_WORDS, TOGETHER, CHUNK = 400_000, 256, 20_000
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
 _NEVER = np.iinfo(np.int32).max
+_NONE = np.iinfo(np.int64).max
 
 
 class Vocabulary:
@@ -113,75 +115,82 @@ class Vocabulary:
         return [flat[e - 4 * s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
     def merged(self, words: list[str], draws: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words in their order, and how many each word has."""
-        spelt = "".join(words)
-        codes = np.frombuffer(spelt.encode("utf-32-le", "surrogatepass"), np.uint32)
+        """The ids of all words (none empty) in their order, and how many each word has.
+
+        Pieces of a word are a linked list over its letters. In each step every word that still has a candidate merges
+        its best one, and only the two pairs beside it are looked up anew.
+        """
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         letters, back = np.unique(codes, return_inverse=True)
-        known = np.array([self.ids.get(chr(c), -1) for c in letters], np.int32)
-        token = known[back]
-        word = np.repeat(np.arange(len(words)), lengths)
-        start = np.cumsum(lengths) - lengths
-        place = np.arange(len(codes)) - np.repeat(start, lengths)
-        # What a word is, for the keyed hash: its letters and its draw.
-        spelling = np.add.reduceat(mix(codes.astype(U) + U(1)) * stream(int(lengths.max()), 4)[place], start)
-        key = mix(spelling + mix(draws.astype(U) + U(seed << 8)))
+        token = np.array([self.ids.get(chr(c), len(self.rank)) for c in letters], np.int32)[back]
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(len(codes)) - np.repeat(first, lengths)
         end = place + 1
+        after, before = np.arange(1, len(codes) + 1), np.arange(-1, len(codes) - 1)
+        after[first + lengths - 1] = before[first] = -1
+        # What a word is, for the keyed hash: its letters and its draw.
+        spelling = np.add.reduceat(mix(codes.astype(U) + U(1)) * stream(int(lengths.max()), 4)[place], first)
+        key = np.repeat(mix(spelling + mix(draws.astype(U) + U(seed << 8))), lengths)
         limit = U(min(2**64 - 1, int(rate * 2.0**64)))
-        # Unknown letters take no part in merges, and become bytes at the end.
-        letter = np.where(token < 0, codes.astype(np.int64), -1)
-        token = np.where(token < 0, len(self.rank), token).astype(np.int32)
-
-        def ranks(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The ids and ranks of merging position k with the next one."""
-            ok = k < len(token) - 1
-            nxt = np.minimum(k + 1, len(token) - 1)
-            ok &= (word[k] == word[nxt]) & (token[k] < len(self.rank)) & (token[nxt] < len(self.rank))
-            ids = np.full(len(k), len(self.rank) - 1, np.int32)
-            ids[ok] = self.joined(token[k[ok]], token[nxt[ok]])
-            rank = self.rank[ids]
+        into = np.zeros(len(codes), np.int32)
+        # Rank and position in one number: the least is the best pair, leftmost on ties.
+        best_of = np.full(len(codes), _NONE)
+
+        def look_up(left: np.ndarray, right: np.ndarray) -> None:
+            """Candidates at left: what merging with right gives, unless it is skipped."""
+            # Letters without a piece take no part, and become bytes at the end.
+            known = (token[left] < len(self.rank)) & (token[right] < len(self.rank))
+            ids = self.joined(token[left], token[right])
+            rank = self.rank[ids].astype(np.int64)
+            ok = known & (rank != _NEVER)
+            left, right, ids, rank = left[ok], right[ok], ids[ok], rank[ok]
             if rate > 0:
-                cand = np.flatnonzero(rank != _NEVER)
-                a = k[cand]
-                spot = (place[a] * 2097152 + end[a]) * 2097152 + end[a + 1]
-                rank[cand[mix(key[word[a]] ^ mix(spot.astype(U))) < limit]] = _NEVER
-            return ids, rank
-
-        into, rank = ranks(np.arange(len(token)))
-        done: list[tuple[np.ndarray, ...]] = []
-        while len(token):
-            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            n = np.diff(np.append(first, len(word)))
-            # Rank and position in one number: the least is the best pair, leftmost on ties.
-            best = np.minimum.reduceat(rank.astype(np.int64) << 32 | np.arange(len(token)), first)
-            at, live = best & 0xFFFFFFFF, best >> 32 != _NEVER
-            if not live.all():
-                ended = np.repeat(~live, n)
-                done.append((word[ended], token[ended], letter[ended]))
-                stay = ~ended
-                moved = np.cumsum(stay) - 1
-                at = moved[at[live]]
-                word, token, letter, place, end, into, rank = (x[stay] for x in (word, token, letter, place, end, into, rank))
-                if not len(token):
-                    break
-            token[at], end[at] = into[at], end[at + 1]
-            stay = np.ones(len(token), bool)
-            stay[at + 1] = False
-            moved = np.cumsum(stay) - 1
-            at = moved[at]
-            word, token, letter, place, end, into, rank = (x[stay] for x in (word, token, letter, place, end, into, rank))
-            changed = np.zeros(len(token), bool)
-            changed[at] = changed[np.maximum(at - 1, 0)] = True
-            fresh = np.flatnonzero(changed)
-            into[fresh], rank[fresh] = ranks(fresh)
-        word, token, letter = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
-        if (letter >= 0).any():
-            spread = [[t] if c < 0 else self.bytes[list(chr(c).encode("utf-8", "surrogatepass"))].tolist() for t, c in zip(token.tolist(), letter.tolist(), strict=True)]
-            word = np.repeat(word, [len(s) for s in spread])
-            token = np.array([t for s in spread for t in s], np.int32)
-        order = np.argsort(word, kind="stable")
-        sizes = np.bincount(word, minlength=len(words))
-        return token[order].astype(np.int32), sizes
+                spot = (place[left] * 2097152 + place[right]) * 2097152 + end[right]
+                stays = mix(key[left] ^ mix(spot.astype(U))) >= limit
+                left, ids, rank = left[stays], ids[stays], rank[stays]
+            into[left] = ids
+            best_of[at_of[left]] = rank << 32 | left
+
+        held, starts = np.arange(len(codes)), first
+        at_of = held.copy()
+        alive = np.ones(len(codes), bool)
+        look_up(np.flatnonzero(after >= 0), after[after >= 0])
+        while len(starts):
+            best = np.minimum.reduceat(best_of, starts)
+            live = best != _NONE
+            if 2 * np.count_nonzero(live) <= len(live):
+                stay = np.concatenate((np.zeros(starts[0], bool), np.repeat(live, np.diff(np.append(starts, len(held))))))
+                held, best_of = held[stay], best_of[stay]
+                at_of[held] = np.arange(len(held))
+                starts = at_of[first[np.searchsorted(first, best[live] & 0xFFFFFFFF, "right") - 1]]
+            else:
+                # The places of ended words fall to the word before; they hold no candidate.
+                starts = starts[live]
+            at = best[live] & 0xFFFFFFFF
+            if not len(at):
+                break
+            gone = after[at]
+            token[at], end[at], alive[gone] = into[at], end[gone], False
+            next_, last = after[gone], before[at]
+            after[at] = next_
+            best_of[at_of[at]] = best_of[at_of[gone]] = _NONE
+            more = next_ >= 0
+            before[next_[more]] = at[more]
+            less = last >= 0
+            best_of[at_of[last[less]]] = _NONE
+            look_up(np.concatenate((at[more], last[less])), np.concatenate((next_[more], at[less])))
+        sizes = np.add.reduceat(alive, first, dtype=np.int64)
+        word, token, codes = np.repeat(np.arange(len(words)), sizes), token[alive], codes[alive]
+        unknown = np.flatnonzero(token == len(self.rank))
+        if len(unknown):
+            raw = [np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8) for c in codes[unknown].tolist()]
+            copies = np.ones(len(token), np.int64)
+            copies[unknown] = [len(r) for r in raw]
+            sizes = np.bincount(word, weights=copies, minlength=len(words)).astype(np.int64)
+            token = np.repeat(token, copies)
+            token[token == len(self.rank)] = self.bytes[np.concatenate(raw)]
+        return token, sizes
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
@@ -263,8 +272,7 @@ def _encode(batches: Iterator[pa.RecordBatch], width: int, model_file: str, rate
     encoder = Encoder(model_file, rate, seed)
     decode = encoder.vocabulary.decode
     for batch in batches:
-        for at in range(0, batch.num_rows, TOGETHER):
-            part = batch.slice(at, TOGETHER)
+        for part in slices(batch, width + 1, TOGETHER):
             texts = part.column(width + 1).to_pylist()
             ids = encoder.encode(part.column(width).to_pylist(), texts)
             whole = [None if x is None else decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
@@ -280,8 +288,11 @@ def _encode(batches: Iterator[pa.RecordBatch], width: int, model_file: str, rate
 
 
 def encode(docs: DataFrame, model_file: str, rate: float = 0.1, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (by default the id) with ids, n_tokens and lossless: whether decoding gave the text again."""
-    kept = [id_col] if keep is None else keep
+    """The columns `keep` (by default the id) with ids, n_tokens and lossless: whether decoding gave the text again.
+
+    Columns of these three names give way.
+    """
+    kept = [c for c in ([id_col] if keep is None else keep) if c not in ("ids", "n_tokens", "lossless")]
     columns = [F.col(f"`{c}`") for c in kept]
     schema = docs.select(*columns).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("lossless", T.BooleanType())
     given = docs.select(*columns, F.col(id_col).cast("string").alias("__id"), F.col(text_col).cast("string").alias("__text"))
