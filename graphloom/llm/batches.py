@@ -8,10 +8,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are worked on at once, but for a single text that is longer.
 SLICE_BYTES = 1_000_000
 
+#: Rows of an Arrow batch where rows hold whole texts.
+BATCH_ROWS = 512
+
+
+def whole_texts(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends Arrow batches of at most BATCH_ROWS rows.
+
+    The setting is read when a result is computed, which may be after the operator has returned, so it stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
 
 def slices(batch: pa.RecordBatch, column: int, rows: int = 2048, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most so many rows, and so many bytes in a string or binary column, one row at least."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.batches import give_back, slices
+from graphloom.llm.batches import give_back, slices, whole_texts
 
 #: N-grams in a language's profile; of a document so many are compared at most.
 PROFILE_SIZE = 400
@@ -123,7 +123,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                 distinct, counts = counted(np.concatenate(grams)) if sum(map(len, grams)) else (np.zeros(0), np.zeros(0))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct.astype(np.int64)), pa.array(counts.astype(np.int64))], ["l", "g", "n"])
 
-    totals = chosen.select("l", "t").mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    totals = whole_texts(chosen.select("l", "t")).mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))
     tops: dict[str, list[int]] = {}
     for r in totals.withColumn("p", place).where(F.col("p") <= PROFILE_SIZE).orderBy("l", "p").collect():
@@ -146,7 +146,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: l
                 [*batch.schema.names[:width], "lang_pred", "score"],
             )
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return whole_texts(docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("__text"))).mapInArrow(run, schema)
 
 
 def identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.batches import slices
+from graphloom.llm.batches import give_back, slices, whole_texts
 from graphloom.llm.shingles import U, mix, stream
 
 BLANK = "▁"
@@ -285,6 +285,7 @@ def _encode(batches: Iterator[pa.RecordBatch], width: int, model_file: str, rate
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:width], lists, counts, pa.array(whole, pa.bool_())], [*part.schema.names[:width], "ids", "n_tokens", "lossless"]
             )
+        give_back()
 
 
 def encode(docs: DataFrame, model_file: str, rate: float = 0.1, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -297,7 +298,7 @@ def encode(docs: DataFrame, model_file: str, rate: float = 0.1, seed: int = 17,
     schema = docs.select(*columns).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("lossless", T.BooleanType())
     given = docs.select(*columns, F.col(id_col).cast("string").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     width = len(kept)
-    return given.mapInArrow(lambda batches: _encode(batches, width, model_file, rate, seed), schema)
+    return whole_texts(given).mapInArrow(lambda batches: _encode(batches, width, model_file, rate, seed), schema)
 
 
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -311,4 +312,4 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", text_col:
             texts = [None if ids is None else back(ids) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
 
-    return encoded.mapInArrow(run, schema)
+    return whole_texts(encoded).mapInArrow(run, schema)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.batches import whole_texts
+
 THRESHOLD = 0.3
 #: Labelled documents learned from, about so many, chosen by hash over all of them.
 TRAIN_DOCS = 20_000
@@ -122,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [features(t.as_py()).tolist() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["i", "y", "x"])
 
-    rows = texts.select(F.col("i").cast("string").alias("i"), "y", "t").mapInArrow(run, "i string, y int, x array<double>").collect()
+    rows = whole_texts(texts.select(F.col("i").cast("string").alias("i"), "y", "t")).mapInArrow(run, "i string, y int, x array<double>").collect()
     rows.sort(key=lambda r: (r["i"] or "", r["y"], r["x"]))
     return fit(np.array([r["x"] for r in rows]).reshape(len(rows), N_FEATURES), np.array([r["y"] for r in rows], int))
 
@@ -141,4 +143,4 @@ def predict(docs: DataFrame, model: Ranking, keep: list[str], text_col: str = "t
                     [*part.columns[:width], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*part.schema.names[:width], "score", "predicted"]
                 )
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return whole_texts(docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("__text"))).mapInArrow(run, schema)

@@ -53,7 +53,7 @@ def count_tokens(docs: DataFrame, rank_file: str, keep: list[str], text_col: str
             counts = [0 if (t := text.as_py()) is None else len(encode(t)) for text in batch.column(width)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(counts, pa.int64())], [*batch.schema.names[:width], "n_tokens"])
 
-    return docs.select(*columns, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return whole_texts(docs.select(*columns, F.col(text_col).cast("string").alias("__text"))).mapInArrow(run, schema)
 
 
 def signed(changes: DataFrame) -> DataFrame:
