@@ -171,12 +171,14 @@ def choices(t: Column) -> Column:
 
 
 def clean_answer(t: Column) -> Column:
-    """Without labels, code fences and quotes around an answer, white space collapsed by line."""
-    out = F.regexp_replace(t, r"(?is)```[a-z]*\n?", "")
-    out = F.regexp_replace(out, r"(?i)^\s*(?:assistant|answer|trả lời|bot)\s*:\s*", "")
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return F.regexp_replace(F.trim(out), r"^[\"'“”]+|[\"'“”]+$", "")
+    """What follows the last `ANSWER:`, without repeated context, logs, notes and rules behind it, blanks and quotes at the ends."""
+    out = F.when(F.contains(t, F.lit("ANSWER:")), F.trim(F.substring_index(t, "ANSWER:", -1))).otherwise(t)
+    for tail in (r"CONTEXT:.*", r"\[LOG\].*"):
+        out = F.regexp_replace(out, rf"(?isU)\n+{tail}", "")
+    for tail in (r"THÔNG TIN.*:", r"=+.*có liên kết.*"):
+        out = F.regexp_replace(out, rf"(?iu)\n+{tail}", "")
+    stripped = F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(stripped, r'^"+|"+$', ""), r"(?U)^\s+|\s+$", "")
 
 
 def school_tokens(t: Column) -> Column:

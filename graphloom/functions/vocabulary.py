@@ -66,33 +66,39 @@ CAREERS = {
 
 #: Places, in the order in which they are looked for.
 PLACES_OF_CHINA = (
-    "Tu Xuyen, Tay Xuyen, Dai Thanh, Quang An, Quang Dong, Tay An, Tay Hai, Bac Kinh, Pec Kinh, Thuong Hai, Thuong Khai, Chongqing, Yunnan, Tibet, "
-    "Tay Trang, Heilongjiang, Jilin, Liaoning, Inner Mongolia, Noi Mong, Khang Tay, Thanh Hai, Hui Hoi, Giang Tay, Giang Su, Chi Nhan, Phu Kien, "
-    "Hunan, Hubei, Anhui, Shandong, Henan, Shanxi"
-)
+    "Tu Xuyen", "Tay Xuyen", "Dai Thanh", "Quang An", "Quang Dong", "Tay An", "Tay Hai", "Bac Kinh", "Pec Kinh", "Thuong Hai", "Thuong Khai",
+    "Chongqing", "Yunnan", "Tibet", "Tay Trang", "Heilongjiang", "Jilin", "Liaoning", "Inner Mongolia", "Noi Mong", "Khang Tay", "Thanh Hai",
+    "Hui Hoi", "Giang Tay", "Giang Su", "Chi Nhan", "Phu Kien", "Hunan", "Hubei", "Anhui", "Shandong", "Henan", "Shanxi",
+)
 PLACES_OF_VIETNAM = (
-    "Ha Noi, Ho Chi Minh, Da Nang, TPHCM, TP Ho Chi Minh, Thanh pho Ho Chi Minh, Hai Phong, Can Tho, Thai Binh, Thai Nguyen, Quang Ninh, Bac Kan, "
-    "Cao Bang, Lang Son, Tuyen Quang, Yen Bai, Dien Bien, Lai Chau, Son La, Hoa Binh, Phu Tho, Vinh Phuc, Bac Giang, Bac Ninh, Hai Duong, Hung Yen, "
-    "Ha Giang, Nam Dinh, Ninh Binh, Thanh Hoa, Nghe An, Ha Tinh, Quang Binh, Quang Tri, Thua Thien Hue, Quang Nam, Quang Ngai, Binh Dinh, Phu Yen, "
-    "Khanh Hoa, Ninh Thuan, Binh Thuan, Dong Nai, Ba Ria, Long An, Tien Giang, Ben Tre, Vinh Long, Tra Vinh, An Giang, Kien Giang, Hau Giang, "
-    "Soc Trang, Bac Lieu, Ca Mau"
-)
-PLACES_OF_INDIA = "Tamil Nadu, Madras, Bengal, Gujarat, Maharashtra, Karnataka, Andhra Pradesh, Uttar Pradesh, Bihar, Punjab, Rajasthan, Haryana"
+    "Ha Noi", "Ho Chi Minh", "Da Nang", "TPHCM", "TP Ho Chi Minh", "Thanh pho Ho Chi Minh", "Hai Phong", "Can Tho", "Thai Binh", "Thai Nguyen",
+    "Quang Ninh", "Bac Kan", "Cao Bang", "Lang Son", "Tuyen Quang", "Yen Bai", "Dien Bien", "Lai Chau", "Son La", "Hoa Binh", "Phu Tho", "Vinh Phuc",
+    "Bac Giang", "Bac Ninh", "Hai Duong", "Hung Yen", "Ha Giang", "Nam Dinh", "Ninh Binh", "Thanh Hoa", "Nghe An", "Ha Tinh", "Quang Binh",
+    "Quang Tri", "Thua Thien Hue", "Quang Nam", "Quang Ngai", "Binh Dinh", "Phu Yen", "Khanh Hoa", "Ninh Thuan", "Binh Thuan", "Dong Nai", "Ba Ria",
+    "Long An", "Tien Giang", "Ben Tre", "Vinh Long", "Tra Vinh", "An Giang", "Kien Giang", "Hau Giang", "Soc Trang", "Bac Lieu", "Ca Mau",
+)
+PLACES_OF_INDIA = (
+    "Tamil Nadu", "Madras", "Bengal", "Gujarat", "Maharashtra", "Karnataka", "Andhra Pradesh", "Uttar Pradesh", "Bihar", "Punjab", "Rajasthan",
+    "Haryana",
+)
 FORMER_NAMES = (
     ("Anh thuoc Anh", "Anh"), ("De quoc Anh", "Anh"), ("An Do thuoc Anh", "An Do"), ("An Do Anh", "An Do"), ("Anh cong hoa", "Anh"),
     ("De quoc Uc", "Australia"), ("Hoa Ky", "Hoa Ky"), ("Cong hoa Xa hoi Chu nghia", "Nga"), ("Tho Nhi Ky", "Turkey"), ("Thuong Hang", "Thuong Hai"),
 )
-COUNTRY_CODES = (
-    "Viet Nam=VN, Lao=LA, Campuchia=KH, Thai Lan=TH, Myanmar=MM, Singapore=SG, Malaysia=MY, Indonesia=ID, Philippines=PH, Brunei=BN, Dong An=ID, "
-    "Nhat Ban=JP, Han Quoc=KR, Trieu Tien=KP, Dai Loan=TW, Trung Quoc=CN, Hong Kong=HK, Macao=MO, An Do=IN, Pakistan=PK, Bangladesh=BD, Nepal=NP, "
-    "Afghanistan=AF, Iran=IR, Iraq=IQ, Saudi Arabia=SA, Yemen=YE, Oman=OM, United Arab Emirates=AE, Qatar=QA, Bahrain=BH, Kuwait=KW, Jordan=JO, "
-    "Lebanon=LB, Syria=SY, Israel=IL, Palestine=PS, Turkey=TR, Phap=FR, Duc=DE, Y=IT, Tay Ban Nha=ES, Bo Dao Nha=PT, Ha Lan=NL, Bi=BE, Thuy Si=CH, "
-    "Ao=AT, Thuy Dien=SE, Na Uy=NO, Dan Mach=DK, Phan Lan=FI, Ba Lan=PL, Cong hoa Sec=CZ, Slovakia=SK, Hungary=HU, Romania=RO, Bulgaria=BG, "
-    "Serbia=RS, Croatia=HR, Bosnia=BA, Montenegro=ME, Albania=AL, Macedonia=MK, Greece=GR, Ireland=IE, Anh=GB, Iceland=IS, Nga=RU, Ukraine=UA, "
-    "Belarus=BY, Hoa Ky=US, Canada=CA, Mexico=MX, Brazil=BR, Argentina=AR, Chile=CL, Peru=PE, Colombia=CO, Venezuela=VE, Ecuador=EC, Cuba=CU, "
-    "Australia=AU, New Zealand=NZ, Papua New Guinea=PG, Anh cong hoa=GB, Anh co=GB, De quoc Anh=GB, Nam My=BR, Nam Phi=ZA, Hoa Thanh=US, My=US, "
-    "Ethiopia=ET, Kenya=KE, Nigeria=NG, Ha Lan thuoc Ha Lan=ID, Dong An thuoc Ha Lan=ID"
-)
+COUNTRY_CODES = {
+    "Viet Nam": "VN", "Lao": "LA", "Campuchia": "KH", "Thai Lan": "TH", "Myanmar": "MM", "Singapore": "SG", "Malaysia": "MY", "Indonesia": "ID",
+    "Philippines": "PH", "Brunei": "BN", "Dong An": "ID", "Nhat Ban": "JP", "Han Quoc": "KR", "Trieu Tien": "KP", "Dai Loan": "TW",
+    "Trung Quoc": "CN", "Hong Kong": "HK", "Macao": "MO", "An Do": "IN", "Pakistan": "PK", "Bangladesh": "BD", "Nepal": "NP", "Afghanistan": "AF",
+    "Iran": "IR", "Iraq": "IQ", "Saudi Arabia": "SA", "Yemen": "YE", "Oman": "OM", "United Arab Emirates": "AE", "Qatar": "QA", "Bahrain": "BH",
+    "Kuwait": "KW", "Jordan": "JO", "Lebanon": "LB", "Syria": "SY", "Israel": "IL", "Palestine": "PS", "Turkey": "TR", "Phap": "FR", "Duc": "DE",
+    "Y": "IT", "Tay Ban Nha": "ES", "Bo Dao Nha": "PT", "Ha Lan": "NL", "Bi": "BE", "Thuy Si": "CH", "Ao": "AT", "Thuy Dien": "SE", "Na Uy": "NO",
+    "Dan Mach": "DK", "Phan Lan": "FI", "Ba Lan": "PL", "Cong hoa Sec": "CZ", "Slovakia": "SK", "Hungary": "HU", "Romania": "RO", "Bulgaria": "BG",
+    "Serbia": "RS", "Croatia": "HR", "Bosnia": "BA", "Montenegro": "ME", "Albania": "AL", "Macedonia": "MK", "Greece": "GR", "Ireland": "IE",
+    "Anh": "GB", "Iceland": "IS", "Nga": "RU", "Ukraine": "UA", "Belarus": "BY", "Hoa Ky": "US", "Canada": "CA", "Mexico": "MX", "Brazil": "BR",
+    "Argentina": "AR", "Chile": "CL", "Peru": "PE", "Colombia": "CO", "Venezuela": "VE", "Ecuador": "EC", "Cuba": "CU", "Australia": "AU",
+    "New Zealand": "NZ", "Papua New Guinea": "PG", "Anh cong hoa": "GB", "Anh co": "GB", "De quoc Anh": "GB", "Nam My": "BR", "Nam Phi": "ZA",
+    "Hoa Thanh": "US", "My": "US", "Ethiopia": "ET", "Kenya": "KE", "Nigeria": "NG", "Ha Lan thuoc Ha Lan": "ID", "Dong An thuoc Ha Lan": "ID",
+}
 
 #: Kinds of questions, by what their lower-case text holds; the first kind wins.
 QUESTION_WORDS = (
@@ -106,6 +112,21 @@ YES_NO_STARTS = ("có phải", "có khác", "không phải ", "không ", "đúng
 YES_NO_HOLDS = ("đúng không", "phải không", "sai không", "có phải", "không phải")
 YES_NO_ENDS = ("không?", "phải?")
 
+#: Words that are no entities by themselves.
+NO_ENTITIES = (
+    "trường", "học", "những", "nào", "cơ", "có", "không", "và", "hay", "được", "cùng", "liên quan", "kết nối", "mối", "người", "ai", "là",
+    "gì", "nơi", "đâu", "bao nhiêu", "mấy", "bao giờ", "khi nào", "tìm", "lấy",
+)
+#: Names of communities, and the persons that make a community one of politics.
+COMMUNITY_NAMES = {
+    "global": "🌍 Cộng đồng Alumni Toàn Cầu (Global Network)",
+    "academic": "🎓 Cộng đồng Học Thuật (Academic Network)",
+    "politics": "🏛️ Cộng đồng Chính Trị Mỹ (US Political Network)",
+    "british": "🇬🇧 Cộng đồng Anh - Châu Âu (British-European Network)",
+    "international": "🌏 Cộng đồng Quốc Tế (International Network)",
+}
+US_POLITICIANS = ("Barack Obama", "Donald Trump", "Bill Clinton", "George W. Bush")
+
 #: Names under which universities and countries are asked for.
 UNIVERSITY_ALIASES = {
     "harvard": "Đại học Harvard", "stanford": "Đại học Stanford", "mit": "Viện Công nghệ Massachusetts",
@@ -134,15 +155,15 @@ def career_categories() -> dict[str, str]:
 
 
 def country_codes() -> dict[str, str]:
-    return dict(pair.split("=") for pair in COUNTRY_CODES.split(", "))
+    return dict(COUNTRY_CODES)
 
 
 def place_tiers() -> list[tuple[str, list[tuple[str, str]]]]:
     """(how names are matched, (name, country) in order) of each tier: whole words, anywhere, or from a word's start."""
     return [
-        ("words", [(p, "Trung Quoc") for p in PLACES_OF_CHINA.split(", ")]),
-        ("words", [(p, "Viet Nam") for p in PLACES_OF_VIETNAM.split(", ")]),
-        ("words", [(p, "An Do") for p in PLACES_OF_INDIA.split(", ")]),
+        ("words", [(p, "Trung Quoc") for p in PLACES_OF_CHINA]),
+        ("words", [(p, "Viet Nam") for p in PLACES_OF_VIETNAM]),
+        ("words", [(p, "An Do") for p in PLACES_OF_INDIA]),
         ("anywhere", list(FORMER_NAMES)),
         ("start", [(c, c) for c in country_codes()]),
     ]

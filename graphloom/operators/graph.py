@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import vocabulary as V
 from graphloom.operators.dedup import undirected
 from graphloom.storage import cut
 
@@ -350,31 +351,34 @@ def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
 
 
 def community_stats(parts: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
-    """(community, size, percent, types, top): top lists the k nodes of largest degree inside."""
+    """(community, size, percent, types, top, top_people): top lists the k nodes of largest degree inside, top_people the persons of these."""
     typed = parts.join(nodes.select("id", "title", "type"), "id")
     inside = undirected(edges).join(parts.select(F.col("id").alias("src"), F.col("community").alias("c1")), "src").join(parts.select(F.col("id").alias("dst"), F.col("community").alias("c2")), "dst").where("c1 = c2")
     degree = inside.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
     ranked = typed.join(degree, "id", "left").withColumn("place", F.row_number().over(Window.partitionBy("community").orderBy(F.desc(F.coalesce("d", F.lit(0))), "id")))
-    top = ranked.where(F.col("place") <= k).groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "title"))), lambda x: x["title"]).alias("top"))
+    top = ranked.where(F.col("place") <= k).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("place", "title", "type"))).alias("t"))
+    people = F.transform(F.filter("t", lambda x: x["type"] == "person"), lambda x: x["title"])
+    top = top.select("community", F.transform("t", lambda x: x["title"]).alias("top"), people.alias("top_people"))
     types = typed.groupBy("community", "type").agg(F.count(F.lit(1)).alias("n"))
     sizes = types.groupBy("community").agg(F.sum("n").alias("size"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("types"))
     total = nodes.agg(F.count(F.lit(1)).alias("total"))
-    return sizes.join(top, "community").join(F.broadcast(total), F.lit(True)).select("community", "size", (100.0 * F.col("size") / F.col("total")).alias("percent"), "types", "top")
+    return sizes.join(top, "community").join(F.broadcast(total), F.lit(True)).select("community", "size", (100.0 * F.col("size") / F.col("total")).alias("percent"), "types", "top", "top_people")
 
 
-def community_label(size: Column, types: Column, top: Column) -> Column:
-    """A name for a community; the first rule wins."""
+def community_label(size: Column, types: Column, top_people: Column, number: Column) -> Column:
+    """A name for a community; the first rule wins. top_people: the persons among its nodes of largest degree."""
+
     def of(kind: str) -> Column:
         return F.coalesce(F.try_element_at(types, F.lit(kind)), F.lit(0))
 
-    names = F.lower(F.array_join(top, " "))
+    name = {k: F.lit(v) for k, v in V.COMMUNITY_NAMES.items()}
     return (
-        F.when(size > 500, "core")
-        .when(of("university") > 0.3 * of("person"), "academic")
-        .when(names.rlike("obama|trump|clinton|biden|putin"), "politics")
-        .when(names.rlike("winston|churchill"), "british")
-        .when(of("country") > 10, "international")
-        .otherwise("other")
+        F.when(size > 500, name["global"])
+        .when(of("university") > 0.3 * of("person"), name["academic"])
+        .when(F.arrays_overlap(top_people, F.array(*(F.lit(x) for x in V.US_POLITICIANS))), name["politics"])
+        .when(F.exists(top_people, lambda x: F.contains(x, F.lit("Winston")) | F.contains(x, F.lit("Churchill"))), name["british"])
+        .when(of("country") > 10, name["international"])
+        .otherwise(F.format_string("🔗 Cộng đồng #%d", number))
     )
 
 

@@ -102,7 +102,8 @@ def resolved_titles(names: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def linked_entities(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     """(question_id, entities): titles of persons and universities whose fold the question holds, longest first."""
-    titles = nodes.where(F.col("type").isin("person", "university")).select("title", fold(F.col("title")).alias("f")).where("f <> ''").distinct()
+    titles = nodes.where(F.col("type").isin("person", "university") & ~normalize_title(F.col("title")).isin(*V.NO_ENTITIES))
+    titles = titles.select("title", fold(F.col("title")).alias("f")).where("f <> ''").distinct()
     asked = questions.select("question_id", F.concat(F.lit(" "), fold(F.col("text")), F.lit(" ")).alias("q"))
     met = titles.join(F.broadcast(asked), F.contains("q", "f"))
     longest = F.array_sort(F.collect_set(F.struct((-F.length("title")).alias("l"), "title")))

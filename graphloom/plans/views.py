@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.storage import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,10 +23,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (person, university, country, career))
 
 
-def alumni(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
+def alumni(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(person, university, year)."""
     lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_returnflag = 'R'")
-    lines = lines.where("l_quantity >= 45") if sparse else lines
     rows = lines.select("l_orderkey", "l_suppkey").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.groupBy(F.concat(F.lit("P"), "o_custkey").alias("person"), F.concat(F.lit("U"), "l_suppkey").alias("university")).agg(F.min(F.year("o_orderdate")).alias("year"))
 
@@ -33,8 +34,8 @@ def _edges(df: DataFrame, relation: str, weight: str = "1") -> DataFrame:
     return df.select("src", "dst", F.lit(relation).alias("type"), F.expr(weight).cast("long").alias("weight"))
 
 
-def alumni_edges(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
-    return _edges(alumni(spark, sf_dir, sparse).select(F.col("person").alias("src"), F.col("university").alias("dst")), "alumni_of")
+def alumni_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(alumni(spark, sf_dir).select(F.col("person").alias("src"), F.col("university").alias("dst")), "alumni_of")
 
 
 def born_in(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,8 @@ def link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     parts = max(1, events.rdd.getNumPartitions())
-    ranged = events.repartitionByRange(parts, "ts", "event_id").sortWithinPartitions("ts", "event_id").withColumn("p", F.spark_partition_id())
+    # Written once: ranges are sampled, so a second exchange could draw them elsewhere.
+    ranged = cut(events.repartitionByRange(parts, "ts", "event_id").sortWithinPartitions("ts", "event_id").withColumn("p", F.spark_partition_id()), "ranged")
     own = Window.partitionBy("p").orderBy("ts", "event_id")
     firsts = ranged.groupBy("p").agg(F.min(F.struct("ts", "event_id", "user_id")).alias("f"))
     follow = firsts.select("p", F.lead("f.user_id").over(Window.orderBy("p")).alias("after"))
@@ -70,8 +72,3 @@ def link_to(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All directed relations."""
     return reduce(DataFrame.unionByName, (f(spark, sf_dir) for f in (alumni_edges, born_in, has_career, link_to)))
-
-
-def sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph of persons and universities for paths and all-pairs algorithms."""
-    return alumni_edges(spark, sf_dir, sparse=True)

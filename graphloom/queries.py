@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
@@ -36,11 +36,8 @@ _ALUMNI = """alumni AS (
     SELECT 'P' || o_custkey AS person, 'U' || l_suppkey AS university, CAST(min(year(o_orderdate)) AS INTEGER) AS year
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     WHERE l_linenumber = 1 AND l_returnflag = 'R' GROUP BY 1, 2)"""
-_SPARSE = """sparse AS (
-    SELECT DISTINCT 'P' || o_custkey AS src, 'U' || l_suppkey AS dst
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    WHERE l_linenumber = 1 AND l_returnflag = 'R' AND l_quantity >= 45),
-both_ways AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse)"""
+_STUDIED = f"""{_ALUMNI}, studied AS (SELECT person AS src, university AS dst FROM alumni),
+both_ways AS (SELECT src, dst FROM studied UNION SELECT dst, src FROM studied)"""
 _LINKS = """link_rows AS (
     SELECT * FROM (
         SELECT 'P' || user_id AS src, 'P' || lead(user_id) OVER (ORDER BY ts, event_id) AS dst, event_id AS ord FROM events)
@@ -114,9 +111,12 @@ def entity_coverage(spark, sf):
     return A.coverage(views.nodes(spark, sf), "type", V.NODE_TYPES).withColumn("percent", F.round("percent", 9))
 
 
-@query(f"WITH {_NODES}, {_EDGES} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges")
+@query(f"WITH {_NODES}, {_EDGES} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT string_agg(type || '=' || n, ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM nodes GROUP BY type)) AS node_types, (SELECT string_agg(type || '=' || n, ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM edges GROUP BY type)) AS edge_types")
 def graph_summary(spark, sf):
-    return A.graph_summary(views.nodes(spark, sf), views.edges(spark, sf)).select("n_nodes", "n_edges")
+    def said(c: str) -> Column:
+        return F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",").alias(c)
+
+    return A.graph_summary(views.nodes(spark, sf), views.edges(spark, sf)).select("n_nodes", "n_edges", said("node_types"), said("edge_types"))
 
 
 @query(f"""WITH {_ALUMNI} SELECT count(DISTINCT university) AS universities, count(DISTINCT person) AS persons, count(DISTINCT year) AS years FROM alumni""")
@@ -178,10 +178,15 @@ def shared_uni_per_uni(spark, sf):
     return E.shared_per_key(views.alumni(spark, sf)).select("p1", "p2", "university", "count")
 
 
-@query(f"""WITH {_ALUMNI}, y AS (SELECT DISTINCT person, university, year FROM alumni)
-SELECT a.person AS p1, b.person AS p2, a.year, a.university FROM y a JOIN y b ON a.year = b.year AND a.university = b.university AND a.person < b.person""")
+@query(f"""WITH {_ALUMNI}, y AS (SELECT DISTINCT person, year FROM alumni)
+SELECT a.person AS p1, b.person AS p2, a.year FROM y a JOIN y b ON a.year = b.year AND a.person < b.person""")
 def same_grad_year(spark, sf):
-    return E.same_value(views.alumni(spark, sf), "person", ["university", "year"]).select("p1", "p2", "year", "university")
+    return E.same_value(views.alumni(spark, sf), "person", ["year"]).select("p1", "p2", "year")
+
+
+@query(f"WITH {_BORN} SELECT a.src AS p1, b.src AS p2, a.dst FROM born a JOIN born b ON a.dst = b.dst AND a.src < b.src")
+def birth_country_pairs(spark, sf):
+    return E.same_value(views.born_in(spark, sf), "src", ["dst"]).select("p1", "p2", "dst")
 
 
 @query(f"WITH {_BORN} SELECT dst, n, CAST(n * (n - 1) // 2 AS BIGINT) AS pairs FROM (SELECT dst, count(*) AS n FROM born GROUP BY dst)")
@@ -189,10 +194,10 @@ def same_birth_country(spark, sf):
     return E.shared_sizes(views.born_in(spark, sf), "src", "dst")
 
 
-@query("""WITH c AS (SELECT 'P' || c_custkey AS person, c_mktsegment AS career, n_name AS nation, c_acctbal > 9000 AS rich FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT a.person AS p1, b.person AS p2, a.career, a.nation FROM c a JOIN c b ON a.career = b.career AND a.nation = b.nation AND a.person < b.person AND a.rich AND b.rich""")
+@query("""WITH c AS (SELECT 'P' || c_custkey AS person, c_mktsegment AS career, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT a.person AS p1, b.person AS p2, a.career, a.nation FROM c a JOIN c b ON a.career = b.career AND a.nation = b.nation AND a.person < b.person""")
 def same_career_by_nation(spark, sf):
-    rows = views.table(spark, sf, "customer").where("c_acctbal > 9000").join(F.broadcast(views.table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = views.table(spark, sf, "customer").join(F.broadcast(views.table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = rows.select(F.concat(F.lit("P"), "c_custkey").alias("person"), F.col("c_mktsegment").alias("career"), F.col("n_name").alias("nation"))
     return E.same_value(rows, "person", ["career", "nation"]).select("p1", "p2", "career", "nation")
 
@@ -215,10 +220,10 @@ def orphan_filter(spark, sf):
 @query(f"""WITH {_NODES}, p AS (SELECT 'P' || user_id AS id, max(event_id) AS last, count(*) AS n FROM events GROUP BY 1)
 SELECT id, title, coalesce(json_extract_string(props, '$.k'), '') AS k FROM nodes LEFT JOIN (SELECT p.id, props FROM p JOIN events ON event_id = last) USING (id) WHERE type = 'person'""")
 def props_left_join(spark, sf):
-    events = views.table(spark, sf, "events").select(F.concat(F.lit("P"), "user_id").alias("id"), "event_id", F.get_json_object("props", "$.k").alias("k"))
-    last = events.groupBy("id").agg(F.max_by("k", "event_id").alias("k"))
+    events = views.table(spark, sf, "events").select(F.concat(F.lit("P"), "user_id").alias("id"), F.col("event_id").alias("ord"), F.get_json_object("props", "$.k").alias("k"))
     people = views.nodes(spark, sf).where("type = 'person'")
-    return people.join(last, "id", "left").select("id", "title", F.coalesce("k", F.lit("")).alias("k"))
+    details = events.join(people.select("id", "title"), "id").select("title", "ord", F.create_map(F.lit("k"), F.array("k")).alias("properties"))
+    return E.with_properties(people, details).select("id", "title", F.coalesce(F.array_join(F.try_element_at("properties", F.lit("k")), ","), F.lit("")).alias("k"))
 
 
 # Dedup, unification, graph collapse
@@ -233,13 +238,13 @@ def undirected_dedup(spark, sf):
     SELECT person AS src, university AS dst, 'alumni_of' AS type, 1 AS weight, 0 AS prio FROM alumni
     UNION ALL SELECT p1, p2, 'same_uni', count(*), 1 FROM shared GROUP BY p1, p2
     UNION ALL SELECT src, dst, 'link_to', 1, 2 FROM link_to
-    UNION ALL SELECT a.person, b.person, 'same_uni', 1, 3 FROM alumni a JOIN alumni b ON a.university = b.university AND a.year = b.year AND a.person > b.person)
+    UNION ALL SELECT a.person, b.person, 'same_uni', 1, 3 FROM (SELECT DISTINCT person, year FROM alumni) a JOIN (SELECT DISTINCT person, year FROM alumni) b ON a.year = b.year AND a.person > b.person)
 SELECT src, dst, type, CAST(weight AS BIGINT) AS weight FROM rows QUALIFY row_number() OVER (
     PARTITION BY CASE WHEN type = 'alumni_of' THEN src ELSE least(src, dst) END, CASE WHEN type = 'alumni_of' THEN dst ELSE greatest(src, dst) END, type
     ORDER BY prio, src, dst, weight) = 1""")
 def unify_edges(spark, sf):
     alumni = views.alumni(spark, sf)
-    grad = E.same_value(alumni, "person", ["university", "year"])
+    grad = E.same_value(alumni, "person", ["year"])
     one = F.lit(1).cast("long").alias("weight")
     return D.unified_edges(
         [
@@ -284,21 +289,24 @@ def keyed_upsert(spark, sf):
     return sinks.upserted(stored, new, "k")
 
 
-@query("SELECT DISTINCT trim(p_type) AS t FROM part WHERE trim(p_type) NOT IN (SELECT trim(p_type) FROM part WHERE p_size < 5)")
+@query(f"WITH {_ALUMNI} SELECT DISTINCT person, university FROM alumni WHERE (person, university) NOT IN (SELECT (person, university) FROM alumni WHERE year < 1996)")
 def append_new(spark, sf):
-    part = views.table(spark, sf, "part")
-    return sinks.new_rows(part.select(F.trim("p_type").alias("t")), part.where("p_size < 5").select(F.trim("p_type").alias("t")), ["t"])
+    """Alumni that aren't among those stored up to 1995; the new ones come with blanks to be collapsed."""
+    alumni = cut(views.alumni(spark, sf), "alumni")
+    rows = sinks.new_rows(alumni.select(F.concat(F.lit(" "), "person", F.lit("  ")).alias("person"), "university"), alumni.where("year < 1996").select("person", "university"), ["person", "university"])
+    return rows.select(F.trim("person").alias("person"), "university")
 
 
 # Lookups
 
 
-@query(f"""WITH {_SPARSE}, pairs AS (SELECT DISTINCT a.src AS a, b.src AS b FROM sparse a JOIN sparse b ON a.dst = b.dst AND a.src < b.src)
-SELECT a, b, x.dst AS neighbour FROM pairs JOIN both_ways x ON x.src = a JOIN both_ways y ON y.src = b AND y.dst = x.dst""")
+@query(f"""WITH {_STUDIED}, pairs AS (SELECT DISTINCT a.src AS a, b.src AS b FROM studied a JOIN studied b ON a.dst = b.dst AND a.src < b.src)
+SELECT a, b, x.dst AS neighbour, 'alumni_of' AS relations_a, 'alumni_of' AS relations_b FROM pairs JOIN both_ways x ON x.src = a JOIN both_ways y ON y.src = b AND y.dst = x.dst""")
 def common_neighbors(spark, sf):
-    edges = cut(views.sparse_edges(spark, sf), "sparse")
+    edges = cut(views.alumni_edges(spark, sf), "studied")
     pairs = E.shared(edges.select(F.col("src").alias("person"), F.col("dst").alias("university"))).select(F.col("p1").alias("a"), F.col("p2").alias("b"))
-    return L.common_neighbours(edges, pairs).select("a", "b", "neighbour")
+    found = L.common_neighbours(edges, pairs)
+    return found.withColumns({c: F.array_join(c, ",") for c in ("relations_a", "relations_b")})
 
 
 @query(f"WITH {_ALUMNI} SELECT person AS id FROM alumni WHERE university = 'U3' ORDER BY person LIMIT 100")
@@ -313,11 +321,11 @@ def people_by_country_and_university(spark, sf):
 
 
 @query(f"""WITH {_ALUMNI}, pairs AS (SELECT 'P' || c_custkey AS a, 'P' || (c_custkey + 1) AS b FROM customer),
-met AS (SELECT a, b, count(*) AS n FROM pairs JOIN alumni x ON x.person = a JOIN alumni y ON y.person = b AND x.university = y.university GROUP BY a, b)
-SELECT pairs.a, pairs.b, coalesce(n, 0) AS n, n IS NOT NULL AS same FROM pairs LEFT JOIN met USING (a, b)""")
+met AS (SELECT a, b, string_agg(x.university, ',' ORDER BY x.university) AS u FROM pairs JOIN alumni x ON x.person = a JOIN alumni y ON y.person = b AND x.university = y.university GROUP BY a, b)
+SELECT pairs.a, pairs.b, coalesce(u, '') AS universities, u IS NOT NULL AS same FROM pairs LEFT JOIN met USING (a, b)""")
 def same_university_check(spark, sf):
     pairs = views.table(spark, sf, "customer").select(F.concat(F.lit("P"), "c_custkey").alias("a"), F.concat(F.lit("P"), F.col("c_custkey") + 1).alias("b"))
-    return L.same_university(views.alumni_edges(spark, sf), pairs).select("a", "b", F.size("universities").cast("long").alias("n"), "same")
+    return L.same_university(views.alumni_edges(spark, sf), pairs).select("a", "b", F.array_join("universities", ",").alias("universities"), "same")
 
 
 @query(f"WITH {_NODES} SELECT id, title, type FROM nodes WHERE lower(title) LIKE '%00001%' ORDER BY title, id LIMIT 10")
@@ -348,51 +356,51 @@ def last_n_turns(spark, sf):
 # Graph algorithms
 
 
-@query(f"""WITH {_SPARSE}, one AS (SELECT src AS a, dst AS b FROM both_ways), pairs AS (SELECT DISTINCT s.src AS a, t.dst AS b FROM sparse s JOIN sparse t ON s.dst <> t.dst AND hash(s.src) IS NOT NULL AND s.src = t.src),
+@query(f"""WITH {_STUDIED}, one AS (SELECT src AS a, dst AS b FROM both_ways), pairs AS (SELECT DISTINCT s.src AS a, t.dst AS b FROM studied s JOIN studied t ON s.dst <> t.dst AND hash(s.src) IS NOT NULL AND s.src = t.src),
 two AS (SELECT x.src AS a, x.dst AS m, y.dst AS b FROM both_ways x JOIN both_ways y ON x.dst = y.src AND x.src <> y.dst),
 three AS (SELECT two.a, z.dst AS b FROM two JOIN both_ways z ON two.b = z.src AND z.dst <> two.a AND z.dst <> two.m),
-ends AS (SELECT DISTINCT a.src AS a, b.src AS b FROM sparse a JOIN sparse b ON a.dst = b.dst AND a.src < b.src UNION SELECT src, dst FROM sparse)
+ends AS (SELECT DISTINCT a.src AS a, b.src AS b FROM studied a JOIN studied b ON a.dst = b.dst AND a.src < b.src UNION SELECT src, dst FROM studied)
 SELECT a, b, count(*) AS n_paths, CAST(min(hops) AS INTEGER) AS hops FROM (
     SELECT a, b, 1 AS hops FROM one UNION ALL SELECT a, b, 2 FROM two UNION ALL SELECT a, b, 3 FROM three) JOIN ends USING (a, b) GROUP BY a, b""")
 def paths_le_3(spark, sf):
-    edges = cut(views.sparse_edges(spark, sf), "sparse")
+    edges = cut(views.alumni_edges(spark, sf), "studied")
     pairs = E.shared(edges.select(F.col("src").alias("person"), F.col("dst").alias("university"))).select(F.col("p1").alias("a"), F.col("p2").alias("b"))
     return G.path_counts(edges, cut(pairs.unionByName(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).distinct(), "pairs"))
 
 
-_REACH = f"""WITH RECURSIVE {_SPARSE}, walk AS (
-    SELECT DISTINCT src AS source, src AS id, 0 AS dist FROM both_ways
-    UNION SELECT source, dst, dist + 1 FROM walk JOIN both_ways ON id = src WHERE dist < 8),
-dists AS (SELECT source, id, min(dist) AS dist FROM walk GROUP BY source, id)"""
+_REACH = f"""WITH RECURSIVE {_STUDIED}, dists(source, id, dist) USING KEY (source, id) AS (
+    SELECT DISTINCT src, src, 0 FROM both_ways
+    UNION SELECT w.source, b.dst, min(w.dist + 1) FROM dists w JOIN both_ways b ON w.id = b.src
+    LEFT JOIN recurring.dists r ON r.source = w.source AND r.id = b.dst WHERE r.id IS NULL GROUP BY 1, 2)"""
 
 
-@query(f"{_REACH} SELECT source, id, CAST(dist AS INTEGER) AS dist FROM dists WHERE dist <= 4")
+@query(f"{_REACH} SELECT source, id, CAST(dist AS INTEGER) AS dist FROM dists")
 def hop_distances(spark, sf):
-    links = cut(D.undirected(views.sparse_edges(spark, sf)), "sparse")
-    return G.distances(links, links.select(F.col("src").alias("id")), 4)
+    links = cut(D.undirected(views.alumni_edges(spark, sf)), "studied")
+    return G.distances(links, links.select(F.col("src").alias("id")), max_hops=1 << 30)
 
 
-@query(f"{_REACH} SELECT CAST(dist AS INTEGER) + 1 AS depth, count(*) AS n FROM dists WHERE source = (SELECT min(src) FROM sparse) AND dist < 5 GROUP BY 1")
+@query(f"{_REACH} SELECT CAST(dist AS INTEGER) + 1 AS depth, count(*) AS n FROM dists WHERE source = (SELECT min(src) FROM studied) GROUP BY 1")
 def bfs_levels(spark, sf):
-    links = cut(D.undirected(views.sparse_edges(spark, sf)), "sparse")
+    links = cut(D.undirected(views.alumni_edges(spark, sf)), "studied")
     seed = links.where("src like 'P%'").agg(F.min("src").alias("id"))
-    return A.counts(G.bfs_levels(links, seed, 5), "depth")
+    return A.counts(G.bfs_levels(links, seed, 1 << 30), "depth")
 
 
-@query(f"""WITH RECURSIVE {_SPARSE}, reach AS (SELECT DISTINCT src AS x, src AS y FROM both_ways UNION SELECT x, dst FROM reach JOIN both_ways ON y = src)
+@query(f"""WITH RECURSIVE {_STUDIED}, reach AS (SELECT DISTINCT src AS x, src AS y FROM both_ways UNION SELECT x, dst FROM reach JOIN both_ways ON y = src)
 SELECT x AS id, min(y) AS component FROM reach GROUP BY x""")
 def components(spark, sf):
-    links = cut(D.undirected(views.sparse_edges(spark, sf)), "sparse")
+    links = cut(D.undirected(views.alumni_edges(spark, sf)), "studied")
     return G.components(links.select(F.col("src").alias("id")).distinct(), links)
 
 
-@query(f"""WITH RECURSIVE {_SPARSE}, weighted AS (SELECT src, dst, 1.0 / (2 + CAST(substr(least(src, dst), 2) AS INTEGER) % 4) AS w FROM both_ways),
-start AS (SELECT min(src) AS s FROM sparse),
+@query(f"""WITH RECURSIVE {_STUDIED}, weighted AS (SELECT src, dst, 1.0 / (2 + CAST(substr(least(src, dst), 2) AS INTEGER) % 4) AS w FROM both_ways),
+start AS (SELECT min(src) AS s FROM studied),
 walk AS (SELECT s AS id, CAST(0 AS DOUBLE) AS cost, 0 AS k FROM start UNION ALL
-    SELECT dst, min(cost + w), k + 1 FROM walk JOIN weighted ON id = src WHERE k < 14 GROUP BY dst, k)
+    SELECT dst, min(cost + w), k + 1 FROM walk JOIN weighted ON id = src WHERE k < (SELECT count(DISTINCT src) FROM both_ways) GROUP BY dst, k)
 SELECT id, round(min(cost), 9) AS cost FROM walk GROUP BY id""")
 def sssp_cost(spark, sf):
-    edges = cut(views.sparse_edges(spark, sf), "sparse")
+    edges = cut(views.alumni_edges(spark, sf), "studied")
     start = edges.agg(F.min("src").alias("s")).first()["s"]
     end = F.substring(F.least("src", "dst"), 2, 20).cast("int")
     weighted = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), (1.0 / (2 + end % 4)).alias("weight"))
@@ -449,7 +457,12 @@ def _largest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return nodes, cut(D.induced(links, nodes), "inside")
 
 
-@query()
+_GIANT = f"""{_REACH}, part AS (SELECT source AS id, min(id) AS c FROM dists GROUP BY source),
+giant AS (SELECT id FROM part WHERE c = (SELECT c FROM part GROUP BY c ORDER BY count(*) DESC, c LIMIT 1)),
+inside AS (SELECT * FROM dists WHERE source IN (SELECT id FROM giant))"""
+
+
+@query(f"{_GIANT} SELECT source AS id, round(CAST(count(*) - 1 AS DOUBLE) / sum(dist), 9) AS closeness FROM inside GROUP BY source")
 def closeness(spark, sf):
     nodes, links = _largest(spark, sf)
     return G.closeness(links, nodes).withColumn("closeness", F.round("closeness", 9))
@@ -482,7 +495,9 @@ def communities(spark, sf):
     return G.greedy_communities(nodes, links)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINKS}, reach AS (SELECT DISTINCT src AS x, src AS y FROM link_to UNION SELECT x, dst FROM reach JOIN link_to ON y = src),
+mutual AS (SELECT a.x, min(a.y) AS c FROM reach a JOIN reach b ON a.x = b.y AND a.y = b.x GROUP BY a.x)
+SELECT id, coalesce(c, id) AS component FROM (SELECT 'P' || c_custkey AS id FROM customer UNION SELECT src FROM link_to UNION SELECT dst FROM link_to) LEFT JOIN mutual ON x = id""")
 def strong_components(spark, sf):
     links = cut(views.link_to(spark, sf).select("src", "dst"), "links")
     return G.strong_components(views.nodes(spark, sf).where("type = 'person'"), links)
@@ -516,10 +531,13 @@ def parsed_pages(spark, sf):
     return pages.select("page_id", p["has_infobox"].alias("has_infobox"), F.size(p["all"]).alias("n_links"), F.coalesce(html.is_person_page(p), F.lit(False)).alias("is_person"))
 
 
-@query("""SELECT page_id, 'https://vi.wikipedia.org/wiki/' || replace(replace(url_encode(replace('Page ' || page_id || ' / (é ~*)', ' ', '_')), '%2F', '/'), '%7E', '~') AS url,
-'Page_' || page_id || '__é_' AS slug FROM pages""")
+_WORD = r"\p{L}\p{M}\p{N}_"
+
+
+@query(rf"""SELECT page_id, 'https://vi.wikipedia.org/wiki/' || replace(replace(url_encode(replace(t, ' ', '_')), '%2F', '/'), '%7E', '~') AS url,
+regexp_replace(regexp_replace(trim(t), '\s+', '_', 'g'), '[^{_WORD}\-.]', '', 'g') AS slug FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) || ' / (é ~*)' AS t FROM pages)""")
 def url_slug(spark, sf):
-    name = F.format_string("Page %d / (é ~*)", "page_id")
+    name = F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(" / (é ~*)"))
     return views.table(spark, sf, "pages").select("page_id", T.wiki_url(name).alias("url"), T.slug(name).alias("slug"))
 
 
@@ -531,23 +549,26 @@ def text_fold(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", F.md5(T.remove_marks(F.col("text"))).alias("folded"))
 
 
-@query(r"SELECT doc_id, CAST(nullif(regexp_extract(text, '(?:^|[^0-9A-Za-z_])((?:19|20)[0-9]{2})(?:$|[^0-9A-Za-z_])', 1), '') AS INTEGER) AS year FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+@query(rf"SELECT doc_id, CAST(nullif(regexp_extract(text, '(?:^|[^{_WORD}])((?:19|20)[0-9]{{2}})(?:$|[^{_WORD}])', 1), '') AS INTEGER) AS year FROM documents")
 def first_year(spark, sf):
-    docs = views.table(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", T.year_in(F.col("text")).alias("year"))
+    return views.table(spark, sf, "documents").select("doc_id", T.year_in(F.col("text")).alias("year"))
 
 
 _WORDS = ("the", "of the", "and", "thing", "dans", "une", "der", "und", "los", "que", "est une")
 
 
-@query(f"""SELECT doc_id, len(h) AS hits, list_sort(list_distinct(h)) AS words FROM (
-    SELECT doc_id, regexp_extract_all(translate(lower(text), '{_VN[0]}', '{_VN[1]}'), '\\b({"|".join(sorted(_WORDS, key=lambda w: (-len(w), w)))})\\b', 1) AS h
-    FROM documents WHERE NOT regexp_matches(lower(text), '[^\\x00-\\x7F]'))""")
+def _hits_sql(words: tuple[str, ...], text: str) -> str:
+    """The words of a gazetteer in a text; what isn't a letter is doubled, so that neighbours needn't share a boundary."""
+    doubled = rf"regexp_replace(translate(lower({text}), '{_VN[0]}', '{_VN[1]}'), '([^{_WORD}])', '\1\1', 'g')"
+    longest = "|".join(w.replace(" ", "  ") for w in sorted(words, key=lambda w: (-len(w), w)))
+    return rf"list_transform(regexp_extract_all({doubled}, '(?:^|[^{_WORD}])({longest})(?:$|[^{_WORD}])', 1), lambda x: replace(x, '  ', ' '))"
+
+
+@query(f"SELECT doc_id, len(h) AS hits, list_sort(list_distinct(h)) AS words FROM (SELECT doc_id, {_hits_sql(_WORDS, 'text')} AS h FROM documents)")
 def gazetteer_hits(spark, sf):
-    docs = views.table(spark, sf, "documents").where(~F.lower("text").rlike(r"[^\x00-\x7F]"))
     words = "|".join(sorted(_WORDS, key=lambda w: (-len(w), w)))
-    hits = F.regexp_extract_all(T.remove_marks(F.col("text")), F.lit(rf"\b({words})\b"), F.lit(1))
-    return docs.select("doc_id", F.size(hits).cast("long").alias("hits"), enrich.careers_in(F.col("text"), _WORDS).alias("words"))
+    hits = F.regexp_extract_all(T.remove_marks(F.col("text")), F.lit(rf"(?U)\b({words})\b"), F.lit(1))
+    return views.table(spark, sf, "documents").select("doc_id", F.size(hits).cast("long").alias("hits"), enrich.careers_in(F.col("text"), _WORDS).alias("words"))
 
 
 def _question_sql() -> str:
@@ -556,14 +577,14 @@ def _question_sql() -> str:
 
     cases = " ".join(f"WHEN {either("contains(q, '{}')", words)} THEN '{kind}'" for kind, words in V.QUESTION_WORDS)
     yes = " OR ".join((either("starts_with(q, '{}')", V.YES_NO_STARTS), either("contains(q, '{}')", V.YES_NO_HOLDS), either("ends_with(q, '{}')", V.YES_NO_ENDS)))
-    return f"CASE WHEN regexp_matches(q, '\\b[a-d]\\.') THEN 'multiple_choice' {cases} WHEN {yes} THEN 'yes_no' ELSE 'general' END"
+    return f"CASE WHEN regexp_matches(q, '(?:^|[^{_WORD}])[a-d]\\.') THEN 'multiple_choice' {cases} WHEN {yes} THEN 'yes_no' ELSE 'general' END"
 
 
 @query(f"""SELECT conv_id, turn, {_question_sql()} AS type FROM (
-    SELECT conv_id, turn, lower(CASE turn % 5 WHEN 0 THEN 'A và B có học cùng trường không?' WHEN 1 THEN 'Có phải A quen B không?' WHEN 2 THEN 'A làm nghề gì?' WHEN 3 THEN 'Ai? A. x B. y' ELSE 'xin chào' END || ' ' || conv_id) AS q FROM conversations)""")
+    SELECT conv_id, turn, lower(coalesce(text, '') || ' ' || CASE turn % 5 WHEN 0 THEN 'A và B có học cùng trường không?' WHEN 1 THEN 'Có phải A quen B không?' WHEN 2 THEN 'A làm nghề gì?' WHEN 3 THEN 'Ai? A. x B. y' ELSE 'xin chào' END) AS q FROM (SELECT conv_id, turn, text FROM conversations))""")
 def classify_text(spark, sf):
     texts = ("A và B có học cùng trường không?", "Có phải A quen B không?", "A làm nghề gì?", "Ai? A. x B. y", "xin chào")
-    text = F.concat(F.element_at(F.array(*(F.lit(t) for t in texts)), (F.col("turn") % 5 + 1).cast("int")), F.lit(" "), F.col("conv_id"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.element_at(F.array(*(F.lit(t) for t in texts)), (F.col("turn") % 5 + 1).cast("int")))
     return views.table(spark, sf, "conversations").select("conv_id", "turn", T.question_type(text).alias("type"))
 
 
@@ -577,7 +598,7 @@ def judged_answers(spark, sf):
 
 @query()
 def generated_questions(spark, sf):
-    return qa.generated_questions(views.nodes(spark, sf), cut(views.alumni_edges(spark, sf), "edges"), 200, 100)
+    return qa.generated_questions(views.nodes(spark, sf), cut(views.alumni_edges(spark, sf), "edges"))
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import normalized_key
+from graphloom.storage import cut
 from graphloom.sources.readers import exists
 
 #: Tables that a finished run keeps.
@@ -48,7 +49,8 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def with_ids(df: DataFrame, order: str = "title") -> DataFrame:
     """K5: id = place in the order of titles, counted by ranges: no single task sees all rows."""
-    parted = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    # Written once: ranges are sampled, so a second exchange could draw them elsewhere.
+    parted = cut(df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()), "ranged")
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parted.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_off")
     place = F.row_number().over(Window.partitionBy("_p").orderBy(order))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no spark.checkpoint.dir (tests, notebooks).
+#: Used only on a local master whose session names no spark.checkpoint.dir (tests, notebooks).
 FALLBACK_DIR = "/tmp/checkpoints/graphloom"
 
 _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; on a cluster it must name one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or FALLBACK_DIR).rstrip("/")
 
 
