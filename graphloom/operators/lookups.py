@@ -138,3 +138,14 @@ def last_turns(turns: DataFrame, k: int = 5) -> DataFrame:
     """The last k turns of each conversation."""
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
     return turns.withColumn("place", place).where(F.col("place") <= k)
+
+
+def ego_network(edges: DataFrame, nodes: DataFrame, word: str) -> DataFrame:
+    """The neighbours of the first node whose title holds a word, with their titles and the relation."""
+    near = neighbours(edges, node_search(nodes, word, k=1))
+    return near.join(nodes.select(F.col("id").alias("neighbour"), "title"), "neighbour").select("id", "neighbour", "title", "type", "direction")
+
+
+def people_of_career(edges: DataFrame, career: str, k: int = 100) -> DataFrame:
+    """B8."""
+    return linked_to(edges, ("has_career",), F.lit(career)).orderBy("id").limit(k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from graphloom.functions.text import is_date_title, is_system_title
+from graphloom.functions.text import is_date_title, is_system_title, normalize
 from graphloom.operators import edges as E
 from graphloom.sources.readers import CrawlConfig
 from graphloom.storage import cut
@@ -101,3 +101,22 @@ def pair_tables(alumni: DataFrame) -> dict[str, DataFrame]:
         "edges_shared": shared.select(F.col("p1").alias("src_person"), F.col("p2").alias("dst_person"), F.lit("SHARED_UNI").alias("relation"), "count"),
         "edges_same_grad": grad.select(F.col("p1").alias("src_person"), F.col("p2").alias("dst_person"), F.lit("SAME_GRAD_YEAR").alias("relation"), "year"),
     }
+
+
+def uncrawled(roots: DataFrame, links: DataFrame, info: DataFrame) -> DataFrame:
+    """Roots (title) that aren't both in links (source_title) and in info (title) already."""
+    key = normalize(F.col("title"))
+    done = links.select(normalize(F.col("source_title")).alias("_k")).intersect(info.select(key.alias("_k")))
+    return roots.join(done, key == F.col("_k"), "left_anti")
+
+
+def candidate_counts(links: DataFrame, roots: DataFrame, person_pages: DataFrame, education: DataFrame) -> DataFrame:
+    """One row about the targets of roots: how many there are, are persons, have known education, or have no page of a person."""
+    targets = links.join(roots.select(F.col("title").alias("src")), "src", "left_semi").select(F.col("dst").alias("title")).distinct()
+    known = person_pages.select("title").distinct().withColumn("person", F.lit(1))
+    taught = education.select("title").distinct().withColumn("taught", F.lit(1))
+    marked = targets.join(known, "title", "left").join(taught, "title", "left")
+    return marked.agg(
+        F.count(F.lit(1)).alias("candidates"), F.count("person").alias("persons"), F.count(F.when(F.col("person").isNotNull(), F.col("taught"))).alias("ok_people"),
+        F.count(F.when(F.col("person").isNull(), F.lit(1))).alias("rejected"),
+    )

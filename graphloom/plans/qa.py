@@ -214,3 +214,8 @@ def generated_questions(nodes: DataFrame, edges: DataFrame, n: int = 700, n_choi
         F.format_string("%s đã học tại trường nào?", "title").alias("question"), F.element_at(letters, F.col("at") + 1).alias("answer"), F.map_from_arrays(letters, "shown").alias("choices"),
     )
     return linked.unionByName(school).unionByName(chosen)
+
+
+def question_counts(questions: DataFrame) -> DataFrame:
+    """Questions by type and category, with subtotals by type and in all (null)."""
+    return questions.rollup("type", "category").agg(F.count(F.lit(1)).alias("n"))

@@ -72,3 +72,9 @@ def link_to(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All directed relations."""
     return reduce(DataFrame.unionByName, (f(spark, sf_dir) for f in (alumni_edges, born_in, has_career, link_to)))
+
+
+def register(spark: SparkSession, sf_dir: str) -> None:
+    """The graph as the temporary views `nodes` and `edges`, for spark.sql."""
+    nodes(spark, sf_dir).createOrReplaceTempView("nodes")
+    edges(spark, sf_dir).createOrReplaceTempView("edges")

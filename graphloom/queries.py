@@ -614,8 +614,11 @@ def answered_questions(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from graphloom import question_queries, text_queries  # noqa: F401 - they register theirs
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

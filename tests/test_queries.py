@@ -105,7 +105,7 @@ def test_all_pairs_queries_take_the_whole_alumni_graph(spark, duck):
 
 def test_cheapest_ways_of_many_edges(spark, monkeypatch):
     chain = spark.createDataFrame([(f"P{k:02}", f"P{k + 1:02}") for k in range(18)], "src string, dst string")
-    monkeypatch.setattr(views, "sparse_edges", lambda spark, sf: chain)
+    monkeypatch.setattr(views, "alumni_edges", lambda spark, sf: chain)
     got = {r["id"]: r["cost"] for r in queries()["sssp_cost"](spark, SF).collect()}
     want = {f"P{k:02}": sum(1 / (2 + j % 4) for j in range(k)) for k in range(19)}
     assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-8 for v in want)

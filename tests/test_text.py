@@ -70,7 +70,8 @@ def test_questions(spark):
     assert each(spark, T.question_type, asked) == ["multiple_choice", "birth_place", "property_query", "profession", "connection", "university", "yes_no", "general"]
     got = each(spark, T.choices, ["Trường? A. Đại học X B. Yale  C. MIT D. Z z"])[0]
     assert [(o["letter"], o["text"]) for o in got] == [("A", "Đại học X"), ("B", "Yale"), ("C", "MIT"), ("D", "Z z")]
-    assert each(spark, T.clean_answer, ["Trả lời: \"Có\""]) == ["Có"]
+    said = ["x ANSWER: a ANSWER:  \"Có\" ", "Có\n\ncontext: y\nz", "Có\n[LOG] y\nz", "Có\nTHÔNG TIN về A: b\nc", "Có\n=== A có liên kết B\nc", None]
+    assert each(spark, T.clean_answer, said) == ["Có", "Có", "Có", "Có b\nc", "Có\nc", None]
     assert each(spark, T.school_tokens, ["Harvard (MA); Đại học Yale"]) == [["harvard", "yale"]]
 
 
