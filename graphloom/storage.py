@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only on a local master whose session names no spark.checkpoint.dir (tests, notebooks).
 FALLBACK_DIR = "/tmp/checkpoints/graphloom"
 
+#: Paths of written tables; a table knows its own.
 _written: list[str] = []
+_PATH = "_cut_path"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,11 +30,37 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    setattr(table, _PATH, path)
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that cut() wrote, once all that was made of it is written too."""
+    path = getattr(table, _PATH, None)
+    if path in _written:
+        _delete(table.sparkSession, path)
+        _written.remove(path)
+    # Shuffle files go when the driver collects the plans that made them.
+    table.sparkSession.sparkContext._jvm.System.gc()
+
+
+def settled(make: Callable[[], DataFrame], name: str, spark: SparkSession) -> DataFrame:
+    """cut() of what make gives, without the tables that it wrote on its way."""
+    before = set(_written)
+    table = cut(make(), name)
+    for path in [p for p in _written if p not in before and p != getattr(table, _PATH)]:
+        _delete(spark, path)
+        _written.remove(path)
+    return table
 
 
 def release(spark: SparkSession) -> None:
     """Delete what cut() wrote; results that still read it must have been stored before."""
     while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
