@@ -3,55 +3,18 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir (tests, notebooks).
-FALLBACK_DIR = "/tmp/checkpoints/graphloom"
+from graphloom.storage import cut as materialise
+from graphloom.storage import discard, release, shared_dir
+
+__all__ = ["discard", "materialise", "release", "shared_dir"]
 
 #: Runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (named or FALLBACK_DIR).rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage is cut, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def discard(table: DataFrame) -> None:
-    """Delete a table that materialise() wrote, once all that was made of it is materialised too."""
-    for file in table.inputFiles()[:1]:
-        for path in [p for p in _written if f"{p.split(':')[-1]}/" in file]:
-            _delete(table.sparkSession, path)
-            _written.remove(path)
-    # Shuffle files go when the plans that made them are collected.
-    table.sparkSession.sparkContext._jvm.System.gc()
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables that materialise() wrote; results that still read them must have been stored before."""
-    while _written:
-        _delete(spark, _written.pop())
-
 
 def text_of(name: str) -> Column:
     """The text column as a string, null as empty."""

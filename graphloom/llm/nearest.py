@@ -8,8 +8,8 @@ of projected distance and their vectors verified in the full space, until a chi-
 vector than the k-th found, it would have been projected nearer than the next leaf with probability of at least
 `confidence`. The same test decides which blocks a query goes on to after its own.
 
-Queries and blocks meet in groups of bounded size; a block whose cell of the tree holds very many equal vectors is one
-of several of that cell.
+Cells grow in number with the rows. Queries and blocks meet in groups of bounded size: a block is copied only for queries
+that visit it. A cell that holds very many equal vectors is several blocks.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor those of
 another length than most have; equal scores are ranked by the smaller id; a query has as many rows as there are other
@@ -34,10 +34,11 @@ PROJECTIONS = 8
 CONFIDENCE = 0.97
 #: Rows of a block, queries that meet it at once, rows of a leaf, leaves that are verified between two tests.
 BLOCK_ROWS, QUERY_ROWS, LEAF_ROWS, LEAVES = 8192, 8192, 64, 8
-#: The sample to which the upper tree is fitted, and its cells at most.
-SAMPLE_ROWS, MAX_CELLS = 4096, 1024
-#: Scores this near are summed again, always in the same order, before they are compared.
+#: The upper tree is fitted to a sample of about so many rows at least, and so many for each of its cells; at most to the third.
+SAMPLE_ROWS, SAMPLE_PER_CELL, MOST_SAMPLED = 4096, 4, 1_000_000
+#: Scores this near, of the largest that norms allow, are summed again, always in the same order, before they are compared.
 _NEAR = 1e-9
+_STEPS = 1 << 30
 
 
 def chi_square(x: np.ndarray) -> np.ndarray:
@@ -127,6 +128,7 @@ class Block:
         reach = _apart(self.projection.query(vector[None])[0], self.low, self.high)
         leaves = np.argsort(reach, kind="stable")
         base = float(vector @ vector) + self.projection.top
+        slack = _NEAR * math.sqrt(float(vector @ vector) * self.projection.top)
         at, score = np.zeros(0, np.int64), np.zeros(0)
         for step in range(0, len(leaves), LEAVES):
             bound = base - 2 * worst
@@ -138,7 +140,7 @@ class Block:
             at, score = np.concatenate((at, rows)), np.concatenate((score, vector @ self.vectors[:, rows]))
             if len(score) >= k:
                 worst = max(worst, float(np.partition(score, len(score) - k)[len(score) - k]))
-            near = score >= worst - _NEAR
+            near = score >= worst - slack
             at, score = at[near], score[near]
         exact = np.zeros(len(at))
         for j, x in enumerate(vector):
@@ -172,8 +174,18 @@ def search(
     rows = materialise(valid.where(F.col("d") == dims["d"]).select("i", "v", "q", F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")).alias("norm")), "vectors")
     n, top = rows.agg(F.count(F.lit(1)), F.max("norm")).first()
     projection = Projection(dims["d"], float(top), seed)
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("i"), "i").limit(SAMPLE_ROWS).select("v").collect()], float)
-    upper = Tree(projection.stored(sample), 1, min(MAX_CELLS, -(-n // block_rows)))
+    wanted = -(-n // block_rows)
+    share = min(1.0, min(MOST_SAMPLED, max(SAMPLE_ROWS, SAMPLE_PER_CELL * wanted)) / n)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = projection.stored(np.array(batch.column(0).to_pylist(), float).reshape(batch.num_rows, -1))
+            yield pa.RecordBatch.from_arrays([pa.array(list(points), pa.list_(pa.float64()))], ["p"])
+
+    some = rows.where(F.pmod(F.xxhash64("i", F.lit(7)), F.lit(_STEPS)) < math.ceil(share * _STEPS)).select("v")
+    sample = np.array([r["p"] for r in some.mapInArrow(project, "p array<double>").collect()], float).reshape(-1, PROJECTIONS)
+    # The order in which rows arrive must not matter.
+    upper = Tree(sample[np.lexsort(sample.T)], 1, min(max(1, len(sample)), wanted))
     columns = [f"p{j}" for j in range(PROJECTIONS)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,15 +204,10 @@ def search(
     parts = [-(-b["n"] // (2 * block_rows)) for b in boxes]
     # A cell of very many rows (equal ones can't be told apart by a tree) is several blocks.
     first = np.concatenate(([0], np.cumsum(parts)))
-    offset = F.create_map(*(F.lit(int(x)) for c, k in cells.items() for x in (c, first[k])))
-    count = F.create_map(*(F.lit(int(x)) for c, k in cells.items() for x in (c, parts[k])))
-    block = offset[F.col("cell")] + F.pmod(F.xxhash64("i"), count[F.col("cell")])
-    blocked = placed.select("i", "v", "q", block.cast("long").alias("block"))
-    n_queries = rows.where("q").count()
-    chunks = max(1, -(-n_queries // QUERY_ROWS))
-    chunk = F.pmod(F.xxhash64(F.lit(1), "i"), F.lit(chunks)).cast("int")
-    index = blocked.select("i", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    asked = blocked.where("q").select("i", "v", "block", chunk.alias("chunk"))
+    places = spark.createDataFrame([(int(c), int(first[k]), int(parts[k])) for c, k in cells.items()], "cell long, first long, parts long")
+    block = F.col("first") + F.pmod(F.xxhash64("i"), F.col("parts"))
+    blocked = materialise(placed.select("i", "v", "q", "cell").join(F.broadcast(places), "cell").select("i", "v", "q", block.alias("block")), "blocked")
+    asked = blocked.where("q").select("i", "v", "block")
 
     def meet(queries: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -212,7 +219,11 @@ def search(
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     def found(queries: DataFrame) -> DataFrame:
-        return queries.groupBy("block", "chunk").cogroup(index.groupBy("block", "chunk")).applyInPandas(meet, _FOUND)
+        """What blocks give the queries (i, v, block, worst): a block is copied once for each QUERY_ROWS queries that visit it."""
+        chunks = materialise(queries.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("chunks")), "chunks")
+        own = queries.join(chunks, "block").select("i", "v", "block", F.pmod(F.xxhash64(F.lit(1), "i"), F.col("chunks")).alias("chunk"), "worst")
+        copies = blocked.join(chunks, "block").select("i", "v", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).toDF("i", "v", "block", "chunk")
+        return own.groupBy("block", "chunk").cogroup(copies.groupBy("block", "chunk")).applyInPandas(meet, _FOUND)
 
     home = materialise(found(asked.withColumn("worst", F.lit(float("-inf")))), "home")
     kth = home.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(float("-inf")).alias("worst"))
@@ -220,15 +231,15 @@ def search(
     def onwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
-            for k, (point, own, worst) in enumerate(zip(projection.query(x), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            for k, (point, own, worst) in enumerate(zip(projection.query(x), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 bound = float(x[k] @ x[k]) + projection.top - 2 * worst
                 reach = _apart(point, low, high)
                 go = (reach == 0) | ((bound > 0) & (chi_square(reach / bound if bound > 0 else reach) < confidence))
                 to = np.array([b for c in np.flatnonzero(go) for b in range(first[c], first[c + 1]) if b != own], np.int64)
                 one = batch.slice(k, 1).take(pa.array(np.zeros(len(to), np.int64)))
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array(to), one.column(3), one.column(4)], batch.schema.names)
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array(to), one.column(3)], batch.schema.names)
 
-    known = asked.join(kth.withColumnRenamed("query_id", "i"), "i", "left").select("i", "v", "block", "chunk", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
-    further = found(known.mapInArrow(onwards, known.schema))
+    known = asked.join(kth.withColumnRenamed("query_id", "i"), "i", "left").select("i", "v", "block", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
+    further = found(materialise(known.mapInArrow(onwards, known.schema), "onwards"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return home.unionByName(further).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
