@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, jaccard_join, lang_id, mixing, pieces
-from graphloom.llm.common import fold_of, materialise, text_of, word_count
+from graphloom.llm.common import fold_of, text_of, word_count
 from graphloom.llm.queries import MIX_PASSES, MIX_SHARE, MIX_WEIGHTS, PIECES_FILE
+from graphloom.storage import discard, settled
 
 #: The last stage's tokens, the threshold draws and the flow have no SQL form.
 ORACLE_SQL = None
@@ -73,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name, spark)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
