@@ -9,6 +9,8 @@ repeated turns are context and are outside the loss mask, which covers each assi
 The prefix sums are taken in blocks of turn numbers and then over the blocks, and windows are joined by
 (conversation, window), so that one huge conversation is spread over many tasks.
 
+The tokens of a turn are its words unless a column of counts is given.
+
 Template: `<|turn|>ROLE<|says|>TEXT<|end|>\\n`. In roles and texts `\\` becomes `\\b` and `<|` becomes `\\l`, so no
 control string occurs inside them and the way back is exact.
 
@@ -39,17 +41,18 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\l"), F.lit("<|")), F.lit("\\b"), F.lit("\\"))
 
 
-def _placed(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+def _placed(turns: DataFrame, conv: str, turn: str, role: str, text: str, tokens: str | None) -> DataFrame:
     """Turns with their position and the token prefix sums before (start) and after (end) them."""
     base = turns.select(
         F.col(conv).alias("c"),
         F.col(turn).cast("long").alias("o"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("r"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("x"),
+        (F.lit(None) if tokens is None else F.col(tokens)).cast("long").alias("t"),
     ).select(
-        "*",
+        "c", "o", "r", "x",
         F.floor(F.coalesce(F.col("o"), F.lit(-(2**60))) / BLOCK_TURNS).alias("b"),
-        (word_count(F.col("x")) + TURN_OVERHEAD).alias("k"),
+        (F.coalesce(F.col("t"), word_count(F.col("x"))) + TURN_OVERHEAD).alias("k"),
     )
     inside = Window.partitionBy("c", "b").orderBy("o", "r", "x").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,13 +79,15 @@ def chat_windows(
     turn: str = "turn",
     role: str = "role",
     text: str = "text",
+    tokens: str | None = None,
 ) -> DataFrame:
     """(conv, window, text, n_context, loss, tokens, over_budget): loss lists (start, length) in code points, from 1.
 
-    budget is the limit of tokens in a window: system turn, repeated history and new turns together. A system turn of
+    tokens names a column with the tokens of each text, as a tokenizer counts them; without it, or where it is null, a
+    text's words are its tokens. budget is the limit of tokens in a window: system turn, repeated history and new turns together. A system turn of
     more than budget - history - budget / 4 tokens leaves a stride of budget / 4, and its windows are over budget.
     """
-    placed = _placed(turns, conv, turn, role, text)
+    placed = _placed(turns, conv, turn, role, text, tokens)
     heads = placed.where("pos = 0").select(
         F.col("c").alias("hc"),
         F.when(F.col("r") == "system", F.struct("pos", "r", "x", "k")).alias("head"),

@@ -18,6 +18,8 @@ RANKS_FILE, RANKS_VERSION = "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_bpe_5
 ARRIVALS = 6
 #: Weights of the sources by code point, repeating; their share of all words; passes over a document at most.
 MIX_WEIGHTS, MIX_SHARE, MIX_PASSES = (5.0, 2.0, 1.0), 1.5, 2
+#: Tokens of op2's windows, and of the history that they repeat: less than most conversations have, so that most are cut.
+CHAT_BUDGET, CHAT_HISTORY = 256, 64
 #: Both texts of the additional conversation of op2.
 ESCAPE_CASE = r"\### Assistant: </turn> ok"
 
@@ -34,7 +36,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(ESCAPE_CASE).alias("text"),
     )
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
-    return chat_format.conversation_digests(chat_format.chat_windows(turns))
+    return chat_format.conversation_digests(chat_format.chat_windows(turns, CHAT_BUDGET, CHAT_HISTORY))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.llm import chat_format as C
+from graphloom.llm.queries import CHAT_BUDGET, CHAT_HISTORY, ESCAPE_CASE, queries
 
 ROWS = [
     (1, 0, "system", "be brief"), (1, 1, "user", "one two three"), (1, 2, "assistant", "<|end|>\n \\ <|turn|> x<"), (1, 3, "user", None), (1, 4, "assistant", ""),
@@ -65,3 +66,30 @@ def test_escapes_are_reversible(spark, texts):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
     rows = df.select("t", C.escape(F.col("t")).alias("e"), C.unescape(C.escape(F.col("t"))).alias("u")).collect()
     assert all(r["t"] == r["u"] and "<|" not in r["e"] for r in rows)
+
+
+def test_query_over_the_whole_table(spark):
+    """Digests of every conversation, and of -7, equal those of the rows themselves; most conversations are cut."""
+    sf, talks = "/root/testdata/sf0.001", {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        talks.setdefault(r["conv_id"], []).append((r["turn"], r["role"] or "", r["text"] or ""))
+    talks[-7] = [(0, "user", ESCAPE_CASE), (1, "assistant", ESCAPE_CASE)]
+    got = {r["conv_id"]: r for r in queries()["op2_chat_format"](spark, sf).collect()}
+    assert got.keys() == talks.keys()
+    for conv, turns in talks.items():
+        turns.sort()
+        said, loss = "".join(f"{r}\n{x}\n" for _, r, x in turns), "".join(x for _, r, x in turns if r == "assistant")
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        row = got[conv]
+        assert (row["n_turns"], row["turns_sha256"], row["loss_chars"], row["loss_sha256"]) == (len(turns), sha(said), len(loss), sha(loss))
+        assert row["formatted_chars"] >= len(said)
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    windows = C.chat_windows(rows, CHAT_BUDGET, CHAT_HISTORY).groupBy("conv_id").count().collect()
+    assert sum(w["count"] > 1 for w in windows) > len(windows) / 2
+
+
+def test_given_token_counts_decide(spark):
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", "w w", 40) for k in range(10)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n long")
+    by_words, by_count = C.chat_windows(df, 100, 10).count(), C.chat_windows(df, 100, 10, tokens="n").count()
+    assert by_words == 1 and by_count > 3
