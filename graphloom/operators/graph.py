@@ -95,14 +95,18 @@ def path_costs(edges: DataFrame, start: Column, max_rounds: int = 1000) -> DataF
 
 
 def simple_paths(edges: DataFrame, pairs: DataFrame, cutoff: int = 3, directed: bool = False) -> DataFrame:
-    """(a, b, path, hops): all paths without repeated nodes of at most `cutoff` edges between pairs."""
+    """(a, b, path, hops): all paths without repeated nodes of at most `cutoff` edges between pairs.
+
+    Walks of the last length aren't written: they meet the pairs' other ends in the plan that makes them.
+    """
     links = edges.select("src", "dst").where("src <> dst").distinct() if directed else undirected(edges)
     wanted = pairs.select("a", "b").where("a <> b").distinct()
     walks = wanted.select("a", F.col("a").alias("at"), F.array("a").alias("path")).distinct()
     out = None
     for k in range(1, cutoff + 1):
         grown = walks.join(links, walks["at"] == links["src"]).where(~F.array_contains("path", F.col("dst")))
-        walks = cut(grown.select("a", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")), "walks")
+        walks = grown.select("a", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        walks = cut(walks, "walks") if k < cutoff else walks
         found = walks.join(wanted.withColumnRenamed("b", "at"), ["a", "at"]).select("a", F.col("at").alias("b"), "path", F.lit(k).alias("hops"))
         out = found if out is None else out.unionByName(found)
     return out
@@ -174,25 +178,44 @@ def largest_component(labels: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(best.select("component")), "component", "left_semi").select("id")
 
 
-def path_lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(mean_length, diameter) over all pairs of nodes of one undirected component."""
-    d = distances(undirected(edges), nodes).where("dist > 0")
+def sampled(nodes: DataFrame, k: int | None, seed: int = 42) -> DataFrame:
+    """The k nodes with the smallest seeded hashes, all where k is None."""
+    ids = nodes.select("id").distinct()
+    return ids if k is None else ids.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k)
+
+
+def path_lengths(edges: DataFrame, nodes: DataFrame, sources: int | None = None) -> DataFrame:
+    """(mean_length, diameter) over all pairs of nodes of one undirected component.
+
+    With a number of `sources` only ways from so many sampled nodes are taken, so rows grow with the nodes and not with
+    their square: the mean is an estimate then, and the diameter a lower bound.
+    """
+    d = distances(undirected(edges), sampled(nodes, sources)).where("dist > 0")
     return d.agg(F.avg("dist").alias("mean_length"), F.max("dist").alias("diameter"))
 
 
-def closeness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, closeness): (n - 1) / sum of distances, in one undirected component."""
+def closeness(edges: DataFrame, nodes: DataFrame, sources: int | None = None) -> DataFrame:
+    """(id, closeness): (n - 1) / sum of distances, in one undirected component.
+
+    With a number of `sources` the mean distance is taken over so many sampled nodes, other than the node itself.
+    """
+    if sources is not None:
+        met = distances(undirected(edges), sampled(nodes, sources)).where("dist > 0").groupBy("id").agg(F.avg("dist").alias("mean"))
+        return nodes.select("id").distinct().join(met, "id", "left").select("id", F.coalesce(1.0 / F.col("mean"), F.lit(0.0)).alias("closeness"))
     d = distances(undirected(edges), nodes).groupBy(F.col("source").alias("id")).agg(F.sum("dist").alias("s"), F.count(F.lit(1)).alias("n"))
     return d.select("id", F.coalesce(F.try_divide(F.col("n") - 1.0, F.col("s")), F.lit(0.0)).alias("closeness"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """(id, triangles): edges point to the end of larger degree, so that no node's list of targets is long."""
+    """(id, triangles): edges point to the end of larger degree, so that no node's list of targets is long.
+
+    A pair of targets is formed once, in the order that an edge between them would have.
+    """
     both = undirected(edges)
     degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     ranked = both.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst")
-    out = cut(ranked.where("d < e or (d = e and src < dst)").select("src", "dst"), "oriented")
-    wedge = out.select("src", F.col("dst").alias("u")).join(out.select("src", F.col("dst").alias("v")), "src").where("u <> v")
+    out = cut(ranked.where("d < e or (d = e and src < dst)").select("src", "dst", "e"), "oriented")
+    wedge = out.toDF("src", "u", "eu").join(out.toDF("src", "v", "ev"), "src").where("eu < ev or (eu = ev and u < v)").select("src", "u", "v")
     found = wedge.join(out.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"])
     return found.select(F.explode(F.array("src", "u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
 
@@ -246,11 +269,15 @@ def degree_centrality(degree: DataFrame) -> DataFrame:
     return degree.join(F.broadcast(n), F.lit(True)).select("id", F.coalesce(F.try_divide(F.col("degree").cast("double"), F.col("n") - 1), F.lit(0.0)).alias("centrality"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, betweenness), directed and normalised, by Brandes: all sources at once, level by level."""
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: int | None = None) -> DataFrame:
+    """(id, betweenness), directed and normalised, by Brandes: all sources at once, level by level.
+
+    With a number of `sources` only ways from so many sampled nodes count, scaled to all nodes: an estimate whose rows
+    grow with the nodes and not with their square.
+    """
     links = cut(edges.select("src", "dst").where("src <> dst").distinct(), "links")
-    ids = nodes.select("id").distinct()
-    level = cut(ids.select(F.col("id").alias("source"), "id", F.lit(0).alias("dist"), F.lit(1.0).alias("ways")), "level")
+    ids = cut(nodes.select("id").distinct(), "ids")
+    level = cut(sampled(ids, sources).select(F.col("id").alias("source"), "id", F.lit(0).alias("dist"), F.lit(1.0).alias("ways")), "level")
     levels, seen = [level], level.select("source", "id")
     while True:
         steps = level.join(links, level["id"] == links["src"]).select("source", F.col("dst").alias("id"), "ways")
@@ -270,6 +297,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     gains = (total.where("source <> id").groupBy("id").agg(F.sum("gain").alias("gain"))) if total is not None else ids.withColumn("gain", F.lit(0.0))
     n = ids.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    scale *= 1.0 if sources is None else n / max(1, min(n, sources))
     return ids.join(gains, "id", "left").select("id", (F.coalesce("gain", F.lit(0.0)) * scale).alias("betweenness"))
 
 

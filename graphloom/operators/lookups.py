@@ -87,15 +87,43 @@ def resolved_country(nodes: DataFrame, name: str) -> DataFrame:
     return rows.withColumn("tier", tier).where("tier is not null").orderBy("tier", "id").limit(1).drop("tier")
 
 
-def resolved_titles(names: DataFrame, nodes: DataFrame) -> DataFrame:
-    """T4: (name, title): the equal title, else one equal when normalised, else the shortest that holds the name.
+#: Characters of the substrings that lead from a text to what it may hold.
+GRAM = 4
+
+
+def _grams(text: Column, k: int) -> Column:
+    """The distinct substrings of k characters."""
+    n = F.length(text)
+    return F.array_distinct(F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda j: F.substr(text, j, F.lit(k)))).otherwise(F.array().cast("array<string>")))
+
+
+def _keyed(parts: DataFrame, part: str, keys: Column) -> DataFrame:
+    """(part, key): of each part's keys the one that fewest parts have, the smallest on ties."""
+    every = parts.select(part).distinct().select(F.col(part).alias("_part"), F.explode(keys).alias("key"))
+    common = every.groupBy("key").agg(F.count(F.lit(1)).alias("_parts"))
+    rarest = every.join(common, "key").groupBy("_part").agg(F.min_by("key", F.struct("_parts", "key")).alias("key"))
+    return rarest.select(F.col("_part").alias(part), "key")
+
 
-    Names are a query set, so they are what is broadcast.
+def held(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """(text, part), distinct: which texts hold which of the parts, empty ones aside; columns of other names go.
+
+    A part is looked up by its rarest substring of GRAM characters, a shorter part by itself, so this is a join on
+    equal keys and no text meets all parts; the whole part is compared then.
     """
+    n = F.length(part)
+    keys = F.when(n >= GRAM, _grams(F.col(part), GRAM)).otherwise(F.array(part))
+    keyed = _keyed(parts.where(n > 0), part, keys)
+    grams = F.array_distinct(F.concat(*(_grams(F.col(text), k) for k in range(1, GRAM + 1))))
+    return texts.select(text).distinct().select(text, F.explode(grams).alias("key")).join(keyed, "key").where(F.contains(text, part)).select(text, part).distinct()
+
+
+def resolved_titles(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """T4: (name, title): the equal title, else one equal when normalised, else the shortest that holds the name."""
     asked = names.select("name", normalize_title(F.col("name")).alias("n")).distinct()
     titles = nodes.select("title", normalize_title(F.col("title")).alias("t"))
     tier = F.when(F.col("title") == F.col("name"), 0).when(F.col("t") == F.col("n"), 1).otherwise(2)
-    met = titles.join(F.broadcast(asked), F.contains("t", "n") & (F.col("n") != ""))
+    met = held(titles, "t", asked, "n").join(titles, "t").join(asked, "n")
     best = met.groupBy("name").agg(F.min_by("title", F.struct(tier, F.when(tier == 2, F.length("title")).otherwise(0), "title")).alias("title"))
     return names.select("name").distinct().join(best, "name", "left")
 
@@ -105,19 +133,28 @@ def linked_entities(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     titles = nodes.where(F.col("type").isin("person", "university") & ~normalize_title(F.col("title")).isin(*V.NO_ENTITIES))
     titles = titles.select("title", fold(F.col("title")).alias("f")).where("f <> ''").distinct()
     asked = questions.select("question_id", F.concat(F.lit(" "), fold(F.col("text")), F.lit(" ")).alias("q"))
-    met = titles.join(F.broadcast(asked), F.contains("q", "f"))
+    met = held(asked, "q", titles, "f").join(titles, "f").join(asked, "q")
     longest = F.array_sort(F.collect_set(F.struct((-F.length("title")).alias("l"), "title")))
     found = met.groupBy("question_id").agg(F.transform(longest, lambda e: e["title"]).alias("entities"))
     return questions.select("question_id").join(found, "question_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
 
 
+def _significant(folded: Column, generic: tuple[str, ...]) -> Column:
+    return F.filter(F.split(folded, " "), lambda w: (F.length(w) >= 3) & ~w.isin(*generic))
+
+
 def typed_node(questions: DataFrame, nodes: DataFrame, type_: str, generic: tuple[str, ...] = ("dai", "hoc", "truong", "vien", "university", "college", "country")) -> DataFrame:
     """(question_id, title): the longest title of a type whose significant words the question holds, or an alias's."""
-    words = F.filter(F.split(fold(F.col("title")), " "), lambda w: (F.length(w) >= 3) & ~w.isin(*generic))
-    titles = nodes.where(F.col("type") == type_).select("title", fold(F.col("title")).alias("f"), words.alias("w")).where("f <> ''").distinct()
+    titles = nodes.where(F.col("type") == type_).select("title", fold(F.col("title")).alias("f")).where("f <> ''").distinct()
+    titles = titles.withColumn("w", _significant(F.col("f"), generic))
     asked = questions.select("question_id", fold(F.col("text")).alias("q"), F.split(fold(F.col("text")), " ").alias("qw"))
-    holds = ((F.size("w") > 0) & (F.size(F.array_except("w", "qw")) == 0)) | F.contains("q", "f")
-    best = titles.join(F.broadcast(asked), holds).groupBy("question_id").agg(F.max_by("title", F.struct(F.length("f"), "title")).alias("title"))
+    # By words: a title is looked up by its rarest word.
+    worded = titles.where(F.size("w") > 0).select("f", "w").distinct()
+    led = _keyed(worded, "f", _significant(F.col("f"), generic)).join(worded, "f")
+    by_word = asked.select("q", "qw").distinct().select("q", "qw", F.explode(F.array_distinct("qw")).alias("key")).join(led, "key")
+    by_word = by_word.where(F.size(F.array_except("w", "qw")) == 0).select("q", "f")
+    met = by_word.unionByName(held(asked, "q", titles, "f")).distinct()
+    best = met.join(titles.select("f", "title"), "f").join(asked.select("q", "question_id"), "q").groupBy("question_id").agg(F.max_by("title", F.struct(F.length("f"), "title")).alias("title"))
     aliases = V.UNIVERSITY_ALIASES if type_ == "university" else V.COUNTRY_ALIASES if type_ == "country" else {}
     alias = F.lit(None).cast("string")
     for word, title in reversed(aliases.items()):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
+from graphloom.operators.dedup import undirected
 
 
 def graph(spark, seed, n=12, m=18):
@@ -162,3 +163,25 @@ def test_levels_and_random_graph(spark):
     many = spark.range(200).selectExpr("cast(id as string) as id")
     a, b = G.random_graph(many, 0.1, 1).collect(), G.random_graph(many, 0.1, 1).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and abs(len(a) / (200 * 199 / 2) - 0.1) < 0.01
+
+
+def test_sampled_sources(spark):
+    draw = random.Random(11)
+    pairs = [(f"n{k:02}", f"n{(k + 1) % 24:02}") for k in range(24)] + [(f"n{draw.randrange(24):02}", f"n{draw.randrange(24):02}") for _ in range(20)]
+    edges = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "src string, dst string")
+    nodes = spark.createDataFrame([(f"n{k:02}",) for k in range(24)], "id string")
+    # All nodes as sources give the exact values.
+    for exact, sample in ((G.betweenness(nodes, edges), G.betweenness(nodes, edges, 24)), (G.closeness(edges, nodes), G.closeness(edges, nodes, 24))):
+        want, got = (dict(map(tuple, t.collect())) for t in (exact, sample))
+        assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+    assert G.path_lengths(edges, nodes, 99).first() == G.path_lengths(edges, nodes).first()
+    # A few sources: the distances of just these.
+    few = [r["id"] for r in G.sampled(nodes, 5).collect()]
+    assert len(few) == 5 and few == [r["id"] for r in G.sampled(nodes.repartition(3), 5).collect()]
+    dist = [tuple(r) for r in G.distances(undirected(edges), nodes).where("dist > 0").collect()]
+    some = [d for s, _, d in dist if s in few]
+    row = G.path_lengths(edges, nodes, 5).first()
+    assert row["diameter"] == max(some) and abs(row["mean_length"] - sum(some) / len(some)) < 1e-9
+    near = {v: [d for s, w, d in dist if s in few and w == v] for v in dict.fromkeys(w for _, w, _ in dist)}
+    got = dict(map(tuple, G.closeness(edges, nodes, 5).collect()))
+    assert all(abs(got[v] - len(ds) / sum(ds)) < 1e-9 for v, ds in near.items())

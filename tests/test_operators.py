@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,14 @@ def test_linking(spark):
     assert typed == {1: "Đại học Huế", 2: None, 3: "Đại học Harvard"}
     names = spark.createDataFrame([("huế",), ("zzz",), ("Yale",)], "name string")
     assert {r["name"]: r["title"] for r in L.resolved_titles(names, nodes).collect()} == {"huế": "Huế", "zzz": None, "Yale": "Yale"}
+
+
+def test_held_parts_equal_brute_force(spark):
+    draw = random.Random(5)
+    texts = ["", None, "ab", "đại học huế", "a" * 3000, *("".join(draw.choices("ab c", k=draw.randrange(1, 40))) for _ in range(60))]
+    parts = ["", None, "a", "ab", "học h", "a" * 50, "aaa", "zz", *("".join(draw.choices("ab c", k=draw.randrange(1, 9))) for _ in range(80))]
+    got = L.held(spark.createDataFrame([(t, 1) for t in texts * 2], "n string, key int"), "n", spark.createDataFrame([(p, 1) for p in parts * 2], "part string, n int"), "part")
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == {(t, p) for t in texts if t for p in parts if p and p in t}
+    none = spark.createDataFrame([], "n string, part string")
+    assert L.held(none, "n", none, "part").count() == 0
