@@ -4,7 +4,7 @@ Totals by (source, language, tokenizer version) are the sum of signed deltas: an
 a delete takes both away, a revised count adds the difference. A batch of changes is aggregated to one row per key,
 written once, and committed by creating a file named after the batch; what isn't committed doesn't count, and a batch
 that is committed already is not applied again, so batches may be retried at will. compact() folds committed batches
-into a base, and totals() reads the newest base and the batches after it.
+into a base, totals() reads the newest base and the batches after it, and vacuum() deletes the deltas that a base holds.
 
 Defined results: null texts have 0 tokens; null sources, languages and versions are keys; null counts are 0; keys whose
 documents and tokens are both 0 are left out of totals; a batch without rows commits nothing but its name; repeated
@@ -110,3 +110,10 @@ class Rollup:
         place = f"deltas/base-{uuid.uuid4().hex}"
         self._sum(places).write.parquet(self.folder.at(place))
         return self.folder.commit_json(f"bases/{number + 1:08d}", {"at": place, "batches": batches})
+
+    def vacuum(self) -> None:
+        """Delete deltas that the newest base holds or that were never committed; names of batches stay. Not while others read or write."""
+        live = set(self._live()[1])
+        for place in self.folder.names("deltas"):
+            if f"deltas/{place}" not in live:
+                self.folder.delete(f"deltas/{place}")
