@@ -4,7 +4,8 @@ Each arrival is appended as small immutable Parquet shards. Compaction sorts the
 tiers by size; a tier with at least `fanout` shards is a run, and is packed into bins of about the target size, each
 of which one task merges into one new shard, without a shuffle. Appending and compacting commit a new version of the
 manifest by an atomic rename that fails if the version exists: the loser of a race reads the new manifest and tries
-again. Readers see the shards of one version only. vacuum() deletes what no kept version lists.
+again. Readers see the shards of one version only, and the columns that it states, so no shard is opened to learn
+them. vacuum() deletes what no kept version lists.
 
 Defined results: rows come back as they were appended, nulls, repeats and empty texts included; all arrivals need the
 same columns, of any names; an empty arrival adds a shard without rows or none; a store without a manifest has version
@@ -21,6 +22,7 @@ from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from graphloom.llm.files import Folder
 
@@ -68,14 +70,19 @@ class ShardStore:
         version = self.version() if version is None else version
         return [tuple(s) for s in self.folder.read_json(f"manifests/{version:010d}.json")["shards"]] if version else []
 
-    def _commit(self, added: list[tuple[str, int]], removed: set[str]) -> int:
+    def schema(self, version: int | None = None) -> StructType:
+        """The columns of a version that isn't 0, by default the newest."""
+        version = self.version() if version is None else version
+        return StructType.fromJson(self.folder.read_json(f"manifests/{version:010d}.json")["schema"])
+
+    def _commit(self, added: list[tuple[str, int]], removed: set[str], schema: StructType) -> int:
         while True:
             version = self.version()
             held = self.manifest(version)
             if not removed <= {name for name, _ in held}:
                 raise RuntimeError("another writer merged the same shards")
             shards = [s for s in held if s[0] not in removed] + added
-            if self.folder.commit_json(f"manifests/{version + 1:010d}.json", {"shards": shards}):
+            if self.folder.commit_json(f"manifests/{version + 1:010d}.json", {"schema": schema.jsonValue(), "shards": shards}):
                 return version + 1
 
     def _written(self, df: DataFrame) -> list[tuple[str, int]]:
@@ -96,25 +103,26 @@ class ShardStore:
 
     def append(self, df: DataFrame) -> int:
         """Add an arrival; the version that holds it."""
-        return self._commit(self._written(df), set())
+        return self._commit(self._written(df), set(), df.schema)
 
     def compact(self, target: int = TARGET_BYTES, fanout: int = FANOUT) -> int:
         """Merge runs until none is left; the version then."""
         while bins := plan_merges(self.manifest(), target, fanout):
-            schema = self.read().schema
+            schema = self.schema()
             for at in range(0, len(bins), BINS_PER_JOB):
                 some = bins[at : at + BINS_PER_JOB]
                 parts = [self.spark.read.schema(schema).parquet(*(self.folder.at(name) for name, _ in b)).coalesce(1) for b in some]
                 with self._parts_apart():
                     merged = self._written(reduce(DataFrame.union, parts))
-                self._commit(merged, {name for b in some for name, _ in b})
+                self._commit(merged, {name for b in some for name, _ in b}, schema)
         return self.version()
 
     def read(self, version: int | None = None) -> DataFrame:
+        version = self.version() if version is None else version
         shards = self.manifest(version)
         if not shards:
             raise ValueError("the store has no shards")
-        return self.spark.read.parquet(*(self.folder.at(name) for name, _ in shards))
+        return self.spark.read.schema(self.schema(version)).parquet(*(self.folder.at(name) for name, _ in shards))
 
     def vacuum(self, keep: int = 1) -> None:
         """Delete manifests but the newest `keep`, and the shards that only they list. Not while others write."""

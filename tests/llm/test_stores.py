@@ -33,6 +33,11 @@ def test_signed_changes_and_idempotent_batches(spark, root):
     assert r.apply("b3", changes(spark, []))
     want = {("a", "en", "v1"): (2, 16), ("b", "en", "v1"): (1, 0), ("a", "en", "v2"): (1, 3)}
     assert totals(r) == want and r.compact() and totals(r) == want
+    stale = r.folder.names("deltas")
+    r.folder.commit_json("deltas/never-committed/part", {})
+    r.vacuum()
+    assert totals(r) == want and len(r.folder.names("deltas")) == 1 < len(stale)
+    assert not r.apply("b2", first) and totals(r) == want
 
 
 def test_a_batch_that_failed_midway_does_not_count(spark, root, monkeypatch):
@@ -94,3 +99,12 @@ def test_store_keeps_rows_versions_and_loses_races(spark, root, docs):
     assert len(left) == 1
     store.append(docs([]))
     assert store.read().count() == 40
+
+
+def test_a_version_states_its_columns(spark, root, docs):
+    store = shards.ShardStore(spark, root)
+    odd = docs([(1, "a"), (2, None)]).withColumn("a b.c", F.array(F.struct(F.lit(1.5).alias("x")))).withColumn("shards", F.lit("s"))
+    store.append(odd.where("false"))
+    assert store.schema().fieldNames() == odd.columns and store.read().schema.simpleString() == odd.schema.simpleString()
+    store.append(odd)
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, odd.collect()))
