@@ -16,6 +16,7 @@ from graphloom.functions.values import all_values, first_of, holds_keyword
 from graphloom.operators import graph as G
 from graphloom.operators import lookups as L
 from graphloom.operators.aggregates import sample, seeded_order
+from graphloom.storage import cut
 
 YES, NO = "CÓ", "KHÔNG"
 #: Offices that make a politician.
@@ -122,7 +123,8 @@ def answered(questions: DataFrame, nodes: DataFrame, edges: DataFrame, details:
     Two persons: school, birth place, profession or connection; a person and a university: school; a person alone:
     profession; a university alone: its alumni; options: the letter. The others keep their context for a model.
     """
-    asked = classified(questions).join(L.linked_entities(questions, nodes), "question_id")
+    # Every way starts from these tables, so they are made once.
+    asked = cut(classified(questions).join(L.linked_entities(questions, nodes), "question_id"), "asked")
     kinds = nodes.where(F.col("type").isin("person", "university")).groupBy("title").agg(F.min("type").alias("kind"), F.min("id").alias("id"))
     ends = asked.select("question_id", F.posexplode("entities").alias("pos", "title")).join(kinds, "title")
     parts = ends.groupBy("question_id").agg(
@@ -130,8 +132,8 @@ def answered(questions: DataFrame, nodes: DataFrame, edges: DataFrame, details:
         F.sort_array(F.collect_list(F.when(F.col("kind") == "university", F.struct("pos", "title", "id")))).alias("unis"),
     )
     rows = asked.join(parts, "question_id", "left").select("question_id", "text", "type", F.coalesce(F.size("persons"), F.lit(0)).alias("np"), F.coalesce(F.size("unis"), F.lit(0)).alias("nu"), "persons", "unis")
-    rows = rows.withColumns({"np": F.greatest("np", F.lit(0)), "nu": F.greatest("nu", F.lit(0))})
-    schools = schools_of(nodes, edges, details)
+    rows = cut(rows.withColumns({"np": F.greatest("np", F.lit(0)), "nu": F.greatest("nu", F.lit(0))}), "questions")
+    schools = cut(schools_of(nodes, edges, details), "schools")
     pair = rows.where("np = 2 and nu = 0 and type <> 'multiple_choice'").select("question_id", "type", F.col("persons")[0]["id"].alias("a"), F.col("persons")[1]["id"].alias("b"), F.col("persons")[0]["title"].alias("ta"), F.col("persons")[1]["title"].alias("tb"))
 
     def told(kind: str, found: DataFrame, by_title: bool = False) -> DataFrame:
