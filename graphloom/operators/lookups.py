@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def neighbours(edges: DataFrame, nodes: DataFrame, relation: str | None = None)
     both = rows.select(F.col("src").alias("id"), F.col("dst").alias("neighbour"), "type", F.lit("out").alias("direction")).unionByName(
         rows.select(F.col("dst").alias("id"), F.col("src").alias("neighbour"), "type", F.lit("in").alias("direction"))
     )
-    return both.join(nodes.select("id").distinct(), "id", "left_semi")
+    return both.join(merged(nodes.select("id").distinct()), "id", "left_semi")
 
 
 def node_search(nodes: DataFrame, word: str, type_: str | None = None, k: int = 10) -> DataFrame:
@@ -87,35 +89,48 @@ def resolved_country(nodes: DataFrame, name: str) -> DataFrame:
     return rows.withColumn("tier", tier).where("tier is not null").orderBy("tier", "id").limit(1).drop("tier")
 
 
-#: Characters of the substrings that lead from a text to what it may hold.
-GRAM = 4
+#: The longest substrings that lead from a text to what it may hold, in characters; shorter ones are halves of it.
+GRAM = 64
 
 
 def _grams(text: Column, k: int) -> Column:
-    """The distinct substrings of k characters."""
+    """Hashes of the distinct substrings of k characters."""
     n = F.length(text)
-    return F.array_distinct(F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda j: F.substr(text, j, F.lit(k)))).otherwise(F.array().cast("array<string>")))
+    every = F.transform(F.sequence(F.lit(1), n - k + 1), lambda j: F.xxhash64(F.substr(text, j, F.lit(k))))
+    return F.array_distinct(F.when(n >= k, every).otherwise(F.array().cast("array<bigint>")))
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """df for a join on equal keys that never broadcasts it: it grows with the input, and the driver would hold it."""
+    return df.hint("merge")
 
 
 def _keyed(parts: DataFrame, part: str, keys: Column) -> DataFrame:
     """(part, key): of each part's keys the one that fewest parts have, the smallest on ties."""
     every = parts.select(part).distinct().select(F.col(part).alias("_part"), F.explode(keys).alias("key"))
     common = every.groupBy("key").agg(F.count(F.lit(1)).alias("_parts"))
-    rarest = every.join(common, "key").groupBy("_part").agg(F.min_by("key", F.struct("_parts", "key")).alias("key"))
+    rarest = every.join(merged(common), "key").groupBy("_part").agg(F.min_by("key", F.struct("_parts", "key")).alias("key"))
     return rarest.select(F.col("_part").alias(part), "key")
 
 
 def held(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
     """(text, part), distinct: which texts hold which of the parts, empty ones aside; columns of other names go.
 
-    A part is looked up by its rarest substring of GRAM characters, a shorter part by itself, so this is a join on
-    equal keys and no text meets all parts; the whole part is compared then.
+    A part is looked up by the rarest of its longest substrings of 1, 2, 4 .. GRAM characters, a text by all of its
+    substrings as long as some part's: a join on equal keys, of hashes alone. The whole part is compared then.
     """
+    # Keys are as long as parts allow: short ones are shared by all parts of few letters, such as numbers.
     n = F.length(part)
-    keys = F.when(n >= GRAM, _grams(F.col(part), GRAM)).otherwise(F.array(part))
-    keyed = _keyed(parts.where(n > 0), part, keys)
-    grams = F.array_distinct(F.concat(*(_grams(F.col(text), k) for k in range(1, GRAM + 1))))
-    return texts.select(text).distinct().select(text, F.explode(grams).alias("key")).join(keyed, "key").where(F.contains(text, part)).select(text, part).distinct()
+    sized = parts.where(n > 0).select(part, F.least(F.lit(GRAM), F.pow(F.lit(2), F.floor(F.log2(n + 0.5)))).cast("int").alias("_k"))
+    sizes = sorted(r["_k"] for r in sized.select("_k").distinct().collect())
+    if not sizes:
+        return texts.select(text).crossJoin(parts.select(part)).limit(0)
+    keys = reduce(lambda other, k: F.when(F.length(part) >= k, _grams(F.col(part), k)).otherwise(other), sizes, F.array().cast("array<bigint>"))
+    keyed = _keyed(sized, part, keys)
+    every = texts.select(text).where(F.col(text).isNotNull()).distinct().withColumn("_text", F.xxhash64(text))
+    grams = every.select("_text", F.explode(F.concat(*(_grams(F.col(text), k) for k in sizes))).alias("key"))
+    led = grams.join(merged(keyed), "key").select("_text", part).distinct()
+    return every.join(merged(led), "_text").where(F.contains(text, part)).select(text, part).distinct()
 
 
 def resolved_titles(names: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -133,10 +148,10 @@ def linked_entities(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     titles = nodes.where(F.col("type").isin("person", "university") & ~normalize_title(F.col("title")).isin(*V.NO_ENTITIES))
     titles = titles.select("title", fold(F.col("title")).alias("f")).where("f <> ''").distinct()
     asked = questions.select("question_id", F.concat(F.lit(" "), fold(F.col("text")), F.lit(" ")).alias("q"))
-    met = held(asked, "q", titles, "f").join(titles, "f").join(asked, "q")
+    met = held(asked, "q", titles, "f").join(merged(titles), "f").join(merged(asked), "q")
     longest = F.array_sort(F.collect_set(F.struct((-F.length("title")).alias("l"), "title")))
     found = met.groupBy("question_id").agg(F.transform(longest, lambda e: e["title"]).alias("entities"))
-    return questions.select("question_id").join(found, "question_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
+    return questions.select("question_id").join(merged(found), "question_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
 
 
 def _significant(folded: Column, generic: tuple[str, ...]) -> Column:
@@ -150,25 +165,25 @@ def typed_node(questions: DataFrame, nodes: DataFrame, type_: str, generic: tupl
     asked = questions.select("question_id", fold(F.col("text")).alias("q"), F.split(fold(F.col("text")), " ").alias("qw"))
     # By words: a title is looked up by its rarest word.
     worded = titles.where(F.size("w") > 0).select("f", "w").distinct()
-    led = _keyed(worded, "f", _significant(F.col("f"), generic)).join(worded, "f")
-    by_word = asked.select("q", "qw").distinct().select("q", "qw", F.explode(F.array_distinct("qw")).alias("key")).join(led, "key")
+    led = _keyed(worded, "f", _significant(F.col("f"), generic)).join(merged(worded), "f")
+    by_word = asked.select("q", "qw").distinct().select("q", "qw", F.explode(F.array_distinct("qw")).alias("key")).join(merged(led), "key")
     by_word = by_word.where(F.size(F.array_except("w", "qw")) == 0).select("q", "f")
     met = by_word.unionByName(held(asked, "q", titles, "f")).distinct()
-    best = met.join(titles.select("f", "title"), "f").join(asked.select("q", "question_id"), "q").groupBy("question_id").agg(F.max_by("title", F.struct(F.length("f"), "title")).alias("title"))
+    best = met.join(merged(titles.select("f", "title")), "f").join(merged(asked.select("q", "question_id")), "q").groupBy("question_id").agg(F.max_by("title", F.struct(F.length("f"), "title")).alias("title"))
     aliases = V.UNIVERSITY_ALIASES if type_ == "university" else V.COUNTRY_ALIASES if type_ == "country" else {}
     alias = F.lit(None).cast("string")
     for word, title in reversed(aliases.items()):
         alias = F.when(F.array_contains("qw", F.lit(word)) if " " not in word else F.contains("q", F.lit(word)), F.lit(title)).otherwise(alias)
-    return asked.join(best, "question_id", "left").select("question_id", F.coalesce("title", alias).alias("title"))
+    return asked.join(merged(best), "question_id", "left").select("question_id", F.coalesce("title", alias).alias("title"))
 
 
 def retrieved_context(questions: DataFrame, nodes: DataFrame, edges: DataFrame, entities: int = 5, near: int = 5) -> DataFrame:
     """(question_id, title, id, neighbours): linked entities with their first neighbours."""
     linked = linked_entities(questions, nodes).select("question_id", F.posexplode(F.slice("entities", 1, entities)).alias("pos", "title"))
-    found = linked.join(nodes.select("id", "title"), "title")
+    found = linked.join(merged(nodes.select("id", "title")), "title")
     first = top_per_group(neighbours(edges, found), ["id"], [F.asc("direction"), F.asc("neighbour"), F.asc("type")], near)
     lists = first.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "neighbour", "type"))).alias("neighbours"))
-    return found.join(lists, "id", "left").select("question_id", "pos", "title", "id", "neighbours")
+    return found.join(merged(lists), "id", "left").select("question_id", "pos", "title", "id", "neighbours")
 
 
 def last_turns(turns: DataFrame, k: int = 5) -> DataFrame:

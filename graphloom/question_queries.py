@@ -125,11 +125,11 @@ FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""")
 def linked_entities(spark, sf):
     """Persons and universities that questions name, longest titles first."""
     suppliers = views.table(spark, sf, "supplier").select("s_suppkey", "s_name")
-    rows = views.table(spark, sf, "customer").join(F.broadcast(suppliers), F.col("c_custkey") == F.col("s_suppkey"), "left")
+    rows = views.table(spark, sf, "customer").join(L.merged(suppliers), F.col("c_custkey") == F.col("s_suppkey"), "left")
     questions = cut(rows.select(F.col("c_custkey").alias("question_id"), F.concat_ws(" ", F.lit("Có phải"), "c_name", F.lit("học ở"), "s_name", F.lit("không?")).alias("text")), "questions")
     nodes = views.nodes(spark, sf)
     typed = L.typed_node(questions, nodes, "university")
-    return L.linked_entities(questions, nodes).join(typed, "question_id").select("question_id", F.array_join("entities", "|").alias("entities"), F.col("title").alias("university"))
+    return L.linked_entities(questions, nodes).join(L.merged(typed), "question_id").select("question_id", F.array_join("entities", "|").alias("entities"), F.col("title").alias("university"))
 
 
 @query(f"""WITH {_EDGES}, ends AS (SELECT src AS id, dst AS neighbour, type, 'out' AS direction FROM edges UNION ALL SELECT dst, src, type, 'in' FROM edges),

@@ -111,3 +111,12 @@ def test_held_parts_equal_brute_force(spark):
     assert len(found) == len(set(found)) and set(found) == {(t, p) for t in texts if t for p in parts if p and p in t}
     none = spark.createDataFrame([], "n string, part string")
     assert L.held(none, "n", none, "part").count() == 0
+
+
+def test_linking_broadcasts_nothing_that_grows(spark):
+    asked = spark.createDataFrame([(k, f"Customer#{k:09} học ở Supplier#{k:09}?") for k in range(30)], "question_id long, text string")
+    nodes = spark.createDataFrame([(f"{c}{k}", f"{c}#{k:09}", t) for k in range(30) for c, t in (("Customer", "person"), ("Supplier", "university"))], "id string, title string, type string")
+    for found, c in ((L.linked_entities(asked, nodes), "entities"), (L.typed_node(asked, nodes, "university"), "title")):
+        got = {r["question_id"]: r[c] for r in found.collect()}
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert got == {k: [f"Customer#{k:09}", f"Supplier#{k:09}"] if c == "entities" else f"Supplier#{k:09}" for k in range(30)}
