@@ -39,7 +39,7 @@ def schools_of(nodes: DataFrame, edges: DataFrame, details: DataFrame) -> DataFr
     listed = details.select("title", F.explode(split_list(F.array_join(F.try_element_at("properties", F.lit("Alma mater")), ";"))).alias("school"))
     names = nodes.select("id", "title")
     linked = edges.where("type = 'alumni_of'").select("src", "dst").distinct()
-    graph = linked.join(names.select(F.col("id").alias("src"), "title"), "src").join(names.select(F.col("id").alias("dst"), F.col("title").alias("school")), "dst").select("title", "school")
+    graph = linked.join(L.merged(names.select(F.col("id").alias("src"), "title")), "src").join(L.merged(names.select(F.col("id").alias("dst"), F.col("title").alias("school"))), "dst").select("title", "school")
     return listed.unionByName(graph).distinct()
 
 
@@ -98,10 +98,11 @@ def multiple_choice(questions: DataFrame, schools: DataFrame, nodes: DataFrame)
     """Q12: (question_id, letter): the first option that a linked person's schools name."""
     options = questions.select("question_id", F.posexplode(choices(F.col("text"))).alias("pos", "o")).select("question_id", "pos", "o.letter", "o.text")
     person = L.linked_entities(questions, nodes).select("question_id", F.explode("entities").alias("title"))
-    proof = person.join(schools, "title").select("question_id", fold(F.col("school")).alias("s"))
-    hit = options.join(proof, "question_id").where(F.contains("s", fold(F.col("text"))) | F.contains(fold(F.col("text")), F.col("s")))
+    proof = person.join(L.merged(schools), "title").select("question_id", fold(F.col("school")).alias("s"))
+    folded = options.select("question_id", "pos", "letter", fold(F.col("text")).alias("t"))
+    hit = folded.join(L.merged(proof), "question_id").where(F.contains("s", "t") | F.contains("t", "s"))
     best = hit.groupBy("question_id").agg(F.min_by("letter", "pos").alias("letter"))
-    return questions.select("question_id").join(best, "question_id", "left")
+    return questions.select("question_id").join(L.merged(best), "question_id", "left")
 
 
 def shared_school_words(pairs: DataFrame, details: DataFrame) -> DataFrame:

@@ -113,10 +113,10 @@ def answer_multiple_choice(spark, sf):
     suppliers = views.table(spark, sf, "supplier").select("s_suppkey", "s_name")
     n = suppliers.count()
     asked = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("question_id"), "c_name", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos"))
-    options = asked.join(F.broadcast(suppliers), (F.col("question_id") * 3 + F.col("pos") * 7) % n == F.col("s_suppkey"))
+    options = asked.join(L.merged(suppliers), (F.col("question_id") * 3 + F.col("pos") * 7) % n == F.col("s_suppkey"))
     said = F.concat(F.substring(F.lit("ABCD"), F.col("pos") + 1, F.lit(1)), F.lit(". "), "s_name")
     text = options.groupBy("question_id", "c_name").agg(F.array_sort(F.collect_list(said)).alias("o"))
-    questions = text.select("question_id", F.concat("c_name", F.lit(" học trường nào? "), F.array_join("o", " ")).alias("text"))
+    questions = cut(text.select("question_id", F.concat("c_name", F.lit(" học trường nào? "), F.array_join("o", " ")).alias("text")), "questions")
     return qa.multiple_choice(questions, _schools(spark, sf), views.nodes(spark, sf))
 
 
