@@ -185,3 +185,27 @@ def test_sampled_sources(spark):
     near = {v: [d for s, w, d in dist if s in few and w == v] for v in dict.fromkeys(w for _, w, _ in dist)}
     got = dict(map(tuple, G.closeness(edges, nodes, 5).collect()))
     assert all(abs(got[v] - len(ds) / sum(ds)) < 1e-9 for v, ds in near.items())
+
+
+def test_hops_of_many_sources_equal_rounds_of_joins(spark):
+    from graphloom.operators import hops as H
+
+    draw = random.Random(3)
+    pairs = {(f"n{draw.randrange(90):02}", f"n{draw.randrange(90):02}") for _ in range(160)}
+    edges = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    nodes = spark.createDataFrame([(f"n{k:02}",) for k in range(90)] + [("alone",)], "id string")
+    want = {tuple(r) for r in G.distances(edges, nodes).collect()}
+    got = [tuple(r) for r in H.all_distances(edges, nodes).collect()]
+    assert len(got) == len(want) and set(got) == want and ("alone", "alone", 0) in want
+    assert {tuple(r) for r in H.all_distances(edges, nodes, 2).collect()} == {r for r in want if r[2] <= 2}
+    sums = {r["id"]: (r["s"], r["n"]) for r in H.distance_sums(edges, nodes).collect()}
+    assert sums == {v: (sum(d for _, w, d in want if w == v), sum(1 for _, w, d in want if w == v and d)) for v in {w for _, w, _ in want}}
+    assert {tuple(r) for r in H.distance_counts(edges, nodes).collect()} == {(d, sum(x[2] == d for x in want)) for d in {x[2] for x in want} - {0}}
+    none = spark.createDataFrame([], "src string, dst string")
+    assert [tuple(r) for r in H.all_distances(none, nodes.where("id = 'alone'")).collect()] == [("alone", "alone", 0)]
+    # One round of tasks: no table is written for each distance.
+    from graphloom import storage
+
+    before = len(storage._written)
+    G.path_lengths(edges, nodes).collect(), G.closeness(edges, nodes).collect()
+    assert len(storage._written) == before
