@@ -125,9 +125,9 @@ def answered(questions: DataFrame, nodes: DataFrame, edges: DataFrame, details:
     profession; a university alone: its alumni; options: the letter. The others keep their context for a model.
     """
     # Every way starts from these tables, so they are made once.
-    asked = cut(classified(questions).join(L.linked_entities(questions, nodes), "question_id"), "asked")
+    asked = cut(classified(questions).join(L.merged(L.linked_entities(questions, nodes)), "question_id"), "asked")
     kinds = nodes.where(F.col("type").isin("person", "university")).groupBy("title").agg(F.min("type").alias("kind"), F.min("id").alias("id"))
-    ends = asked.select("question_id", F.posexplode("entities").alias("pos", "title")).join(kinds, "title")
+    ends = asked.select("question_id", F.posexplode("entities").alias("pos", "title")).join(L.merged(kinds), "title")
     parts = ends.groupBy("question_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("kind") == "person", F.struct("pos", "title", "id")))).alias("persons"),
         F.sort_array(F.collect_list(F.when(F.col("kind") == "university", F.struct("pos", "title", "id")))).alias("unis"),

@@ -110,3 +110,11 @@ def test_cheapest_ways_of_many_edges(spark, monkeypatch):
     want = {f"P{k:02}": sum(1 / (2 + j % 4) for j in range(k)) for k in range(19)}
     assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-8 for v in want)
     release(spark)
+
+
+def test_all_generated_questions_are_answered(spark):
+    made = {r["category"]: r["count"] for r in queries()["generated_questions"](spark, SF).groupBy("category").count().collect()}
+    got = {r["type"]: (r["n"], r["accuracy"]) for r in queries()["answered_questions"](spark, SF).collect()}
+    assert {k: n for k, (n, _) in got.items() if k} == made and got[None][0] == sum(made.values())
+    assert got["university"][1] == 1 and got["university_mcq"][1] == 1
+    release(spark)
