@@ -162,7 +162,8 @@ def answered(questions: DataFrame, nodes: DataFrame, edges: DataFrame, details:
         listing.select("question_id", F.lit("university").alias("type"), F.array_join("people", ", ").alias("answer")),
         multiple_choice(rows.where("type = 'multiple_choice'").select("question_id", "text"), schools, nodes).select("question_id", F.lit("multiple_choice").alias("type"), F.col("letter").alias("answer")),
     ]
-    found = reduce(DataFrame.unionByName, branches).groupBy("question_id").agg(F.max("answer").alias("answer"))
+    # One way after the other: all at once, their plans and broadcasts would meet in the driver.
+    found = reduce(DataFrame.unionByName, [cut(rows, "answers") for rows in branches]).groupBy("question_id").agg(F.max("answer").alias("answer"))
     return asked.select("question_id", "type").join(found, "question_id", "left")
 
 
