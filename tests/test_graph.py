@@ -2,11 +2,13 @@ import heapq
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.operators.dedup import undirected
+from graphloom.operators.merges import greedy
 
 
 def graph(spark, seed, n=12, m=18):
@@ -209,3 +211,36 @@ def test_hops_of_many_sources_equal_rounds_of_joins(spark):
     before = len(storage._written)
     G.path_lengths(edges, nodes).collect(), G.closeness(edges, nodes).collect()
     assert len(storage._written) == before
+
+
+def test_communities_of_more_edges_than_fit_a_driver(spark):
+    ids = spark.range(70_000).select(F.format_string("n%06d", F.col("id") * 3).alias("a"), F.format_string("n%06d", F.col("id") * 3 + 1).alias("b"), F.format_string("n%06d", F.col("id") * 3 + 2).alias("c"))
+    sides = [ids.select(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in ("ab", "ac", "bc")]
+    edges = sides[0].unionByName(sides[1]).unionByName(sides[2])
+    nodes = ids.select(F.explode(F.array("a", "b", "c")).alias("id"))
+    got = G.greedy_communities(nodes, edges).groupBy("community").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    assert got.where("community = first and n = 3").count() == got.count() == 70_000
+
+
+def test_greedy_merges_equal_the_model():
+    """The plain sequence: all gains anew after each merge."""
+    for seed in range(20):
+        draw = random.Random(seed)
+        n = draw.randrange(2, 30)
+        pairs = sorted({tuple(sorted(draw.sample(range(n), 2))) for _ in range(draw.randrange(1, 60))})
+        m, group = len(pairs), {v: {v} for v in range(n)}
+        degree = {v: sum(v in p for p in pairs) for v in range(n)}
+        while True:
+            of = {v: k for k, g in group.items() for v in g}
+            links = {}
+            for a, b in pairs:
+                if of[a] != of[b]:
+                    key = min(of[a], of[b]), max(of[a], of[b])
+                    links[key] = links.get(key, 0) + 1
+            gains = [(-(w / m - degree[a] * degree[b] / (2 * m * m)), a, b) for (a, b), w in links.items()]
+            g, a, b = min(gains, default=(0, 0, 0))
+            if g >= 0:
+                break
+            group[a] |= group.pop(b)
+            degree[a] += degree.pop(b)
+        assert greedy(*np.array(pairs).T, n) == [of[v] for v in range(n)], seed
