@@ -120,3 +120,26 @@ def test_linking_broadcasts_nothing_that_grows(spark):
         got = {r["question_id"]: r[c] for r in found.collect()}
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
         assert got == {k: [f"Customer#{k:09}", f"Supplier#{k:09}"] if c == "entities" else f"Supplier#{k:09}" for k in range(30)}
+
+
+def test_pairs_in_blocks_equal_brute_force(spark):
+    draw = random.Random(3)
+    studied = sorted({(f"p{draw.randrange(60)}", draw.randrange(1990, 1996), f"u{draw.randrange(40)}") for _ in range(150)})
+    alumni = spark.createDataFrame([*studied, ("p0", None, "u1"), (None, 1990, "u2")], "person string, year int, university string")
+    of = {}
+    for p, y, u in studied:
+        of.setdefault(p, (set(), set()))[0].add(y)
+        of[p][1].add(u)
+    of["p0"][1].add("u1")
+    pairs = [(a, b) for a in of for b in of if a < b]
+    got = rows(E.same_value(alumni, "person", ["year"]), "p1", "p2", "year")
+    assert got == sorted((a, b, y) for a, b in pairs for y in of[a][0] & of[b][0])
+    met = E.met_once(alumni, "person", "year", "university")
+    assert rows(met, "p1", "p2") == sorted((a, b) for a, b in pairs if of[a][0] & of[b][0] and not of[a][1] & of[b][1])
+
+
+def test_many_pairs_of_one_value_are_many_tasks(spark):
+    people = spark.range(2000).select(F.col("id").cast("string").alias("person"), F.lit(7).alias("year"), F.concat(F.lit("u"), "id").alias("university"))
+    for met in (E.same_value(people, "person", ["year"]), E.met_once(people, "person", "year", "university")):
+        tasks = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == 2000 * 1999 // 2 and max(tasks) < sum(tasks) / 3
