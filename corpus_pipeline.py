@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,12 +11,26 @@ from pyspark.sql import functions as F
 from graphloom.llm import exact_dedup, jaccard_join, lang_id, mixing, pieces
 from graphloom.llm.common import fold_of, text_of, word_count
 from graphloom.llm.queries import MIX_PASSES, MIX_SHARE, MIX_WEIGHTS, PIECES_FILE
-from graphloom.storage import discard, settled
+from graphloom.storage import discard, settled, trim
 
 #: The last stage's tokens, the threshold draws and the flow have no SQL form.
 ORACLE_SQL = None
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def _trimmed(stage: Stage) -> Stage:
+    """The stage, begun with the executors' heap as small as it gets: what the stage before left there is garbage."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        trim(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
+@_trimmed
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with `lang` as identified, without those whose language can't be told; profiles are of those outside fold 0.
 
@@ -25,6 +40,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lang_id.identified(docs, lang_id.learn(docs.where(F.coalesce(fold_of(F.col("doc_id")), F.lit(1)) != 0)))
 
 
+@_trimmed
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id; a null id is the least.
 
@@ -34,6 +50,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return exact_dedup.drop_duplicates(docs)
 
 
+@_trimmed
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by similar shingles, the document with the smallest id.
 
@@ -43,6 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard_join.keep_one(docs)
 
 
+@_trimmed
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not, once or twice.
 
@@ -52,6 +70,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, F.array("source"), word_count(text_of("text")), MIX_WEIGHTS, MIX_SHARE, MIX_PASSES)
 
 
+@_trimmed
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source and lang with token ids.
 
@@ -61,7 +80,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, PIECES_FILE, keep=["doc_id", "source", "lang"])
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
     ("exact_duplicates", exact_duplicates),
     ("near_duplicates", near_duplicates),

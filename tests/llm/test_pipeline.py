@@ -67,3 +67,13 @@ def test_stages_on_odd_rows(spark):
 def test_registry():
     assert {re.match(r"op\d+", n)[0] for n in queries()} == {f"op{n}" for n in range(1, 11)}
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_stages_begin_with_collected_heaps(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for name, stage in P.STAGES[3:]:
+        before = full()
+        stage(spark, docs.where("doc_id < 0"), "")
+        assert full() > before, name
